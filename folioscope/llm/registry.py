@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from folioscope.llm import decontaminate, mixing
+from folioscope.llm import decontaminate, exact, mixing, tokens
 
 _MODULES = {
     "op1_decontamination": decontaminate,
     "op3_source_mixing": mixing,
+    "op4_exact_dedup": exact,
+    "op9_token_counts": tokens,
 }
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from folioscope.llm import decontaminate, exact, mixing, tokens
+from folioscope.llm import decontaminate, exact, mixing, quality, sharding, tokens, toxicity
 
 _MODULES = {
     "op1_decontamination": decontaminate,
+    "op2_toxicity": toxicity,
     "op3_source_mixing": mixing,
     "op4_exact_dedup": exact,
+    "op5_quality": quality,
+    "op8_sharding": sharding,
     "op9_token_counts": tokens,
 }
 

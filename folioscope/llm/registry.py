@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from folioscope.llm import decontaminate, exact, mixing, quality, sharding, tokens, toxicity
+from folioscope.llm import chat, decontaminate, exact, mixing, quality, sharding, tokens, toxicity, warc
 
 _MODULES = {
     "op1_decontamination": decontaminate,
@@ -12,8 +12,10 @@ _MODULES = {
     "op3_source_mixing": mixing,
     "op4_exact_dedup": exact,
     "op5_quality": quality,
+    "op6_warc": warc,
     "op8_sharding": sharding,
     "op9_token_counts": tokens,
+    "op10_chat_formatting": chat,
 }
 
 

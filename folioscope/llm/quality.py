@@ -159,11 +159,11 @@ def _measured(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([statistics(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], names=["x"])
 
 
-def _scored(shared):
+def _scored(shared, at: int, keep: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            scores = shared.value.score(blobs(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            scores = shared.value.score(blobs(batch.column(at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(scores, pa.float64())], names=[*batch.schema.names[:keep], "score"])
 
     return run
 
@@ -172,9 +172,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     """The columns ``keep`` of docs (all by default) and the score of each text."""
     spark = ship(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    read = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).toDF(*[f"c{i}" for i in range(len(keep))], "text")
+    names = list(dict.fromkeys([*keep, text]))
+    read = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*[f"c{i}" for i in range(len(names))])
     kinds = [f"c{i} {read.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(keep))]
-    return read.mapInArrow(_scored(spark.sparkContext.broadcast(model)), ", ".join([*kinds, "score double"])).toDF(*keep, name)
+    return read.mapInArrow(_scored(spark.sparkContext.broadcast(model), names.index(text), len(keep)), ", ".join([*kinds, "score double"])).toDF(*keep, name)
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from folioscope.llm import chat, decontaminate, exact, mixing, quality, sharding, tokens, toxicity, warc
+from folioscope.llm import chat, decontaminate, exact, mixing, neardup, quality, sharding, tokens, toxicity, warc
 
 _MODULES = {
     "op1_decontamination": decontaminate,
@@ -13,6 +13,7 @@ _MODULES = {
     "op4_exact_dedup": exact,
     "op5_quality": quality,
     "op6_warc": warc,
+    "op7_order_minhash": neardup,
     "op8_sharding": sharding,
     "op9_token_counts": tokens,
     "op10_chat_formatting": chat,

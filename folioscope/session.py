@@ -14,8 +14,8 @@ BATCH_ROWS = 256
 _SHIPPED: set[str] = set()
 
 
-def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
-    """A session for one machine, as tests and the bench use it."""
+def local_session(cores: int | str = 8, partitions: int = 8, **more: str) -> SparkSession:
+    """A session for one machine, as tests and the bench use it; ``more`` are further settings with _ for dots."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("folioscope")
@@ -25,6 +25,7 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
+        .config(map={k.replace("_", "."): v for k, v in more.items()})
         .getOrCreate()
     )
 

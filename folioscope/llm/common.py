@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import ship, table
 
-__all__ = ["blobs", "crc_fold", "keyed", "materialise", "shared_dir", "ship", "table", "utf8_words"]
+__all__ = ["blobs", "crc_fold", "keyed", "labelled_sample", "materialise", "shared_dir", "ship", "table", "utf8_words"]
 
 #: Turns every ASCII byte that is neither a letter nor a digit into a space; bytes of other characters stay.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -38,6 +38,19 @@ def crc_fold(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int, chars: int) -> tuple[DataFrame, dict[int, int]]:
+    """Rows of docs (doc_id, text, ...) for a bounded sample of labels (doc_id, label), and all labels' counts by class.
+
+    Of each class the ``rows`` labels with the smallest hash of the id are taken among those that are not held out, so at
+    most twice as many ids are broadcast to find their texts; texts of more than ``chars`` code points are left out.
+    """
+    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).select("doc_id", F.col("label").cast("int").alias("label"))
+    shares = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_hash = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
+    picked = known.where("label = 0").orderBy(*by_hash).limit(rows).unionAll(known.where("label = 1").orderBy(*by_hash).limit(rows))
+    return docs.join(F.broadcast(picked), "doc_id").where(F.length(F.coalesce("text", F.lit(""))) <= chars), shares
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 

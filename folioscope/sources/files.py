@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.session import ship
+
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Whole Markdown files (path, text)."""
@@ -24,3 +29,25 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_markdown(df: DataFrame, path: str, key: str = "doc_id", text: str = "markdown") -> None:
     """One folder per document with its Markdown as text; the end of a file is one line feed."""
     df.select(key, F.regexp_replace(text, r"\n+\z", "").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def save_media(media: DataFrame, named: DataFrame, folder: str) -> DataFrame:
+    """Write media (doc_id, media, content) under the names of records.media_names(); returns what was written.
+
+    Each document has a folder of its own below ``folder``, which all executors must reach. A file is written whole and
+    again if its task is repeated. The result (doc_id, file, bytes) is lazy: reading it does the work.
+    """
+    ship(media.sparkSession)
+    wanted = named.where("file is not null").select("doc_id", "media", "file").distinct().join(media, ["doc_id", "media"])
+
+    def save(batches):
+        for pdf in batches:
+            for doc, file, content in zip(pdf["doc_id"], pdf["file"], pdf["content"], strict=True):
+                local = re.sub(r"^file:/+", "/", f"{folder}/{doc}/{file}")
+                store, path = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(local)
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(path) as out:
+                    out.write(bytes(content))
+            yield pdf.assign(bytes=[len(c) for c in pdf["content"]])[["doc_id", "file", "bytes"]]
+
+    return wanted.select("doc_id", "file", "content").mapInPandas(save, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, file string, bytes bigint")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import blobs, crc_fold, keyed, ship, table
+from folioscope.llm.common import blobs, crc_fold, keyed, labelled_sample, ship, table
 
 FOLDS, HELD = 4, 2
 SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 200_000
@@ -140,23 +140,17 @@ def train(x: np.ndarray, y: np.ndarray, w: np.ndarray, shrink: float = SHRINK, r
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", folds: int = FOLDS, held: int = HELD, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model fitted on the labelled rows of docs that are not held out."""
-    known = keyed(labels, doc_id=doc_id, label=label).where(F.col("label").isin(0, 1)).where(crc_fold("doc_id", folds) != held)
-    shares = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    joined = keyed(docs, doc_id=doc_id, text=text).join(known, "doc_id").where(F.length(F.coalesce("text", F.lit(""))) <= sample_chars)
-    x, y, w = [], [], []
-    for value in (0, 1):
-        picked = joined.where(F.col("label") == value).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", F.xxhash64("text")).limit(sample_rows)
-        rows = picked.select(F.col("text").cast("binary").alias("text")).mapInArrow(_measured, "x array<double>").collect()
-        x += [r.x for r in rows]
-        y += [value] * len(rows)
-        w += [shares.get(value, 0) / len(rows)] * len(rows) if rows else []
-    order = sorted(range(len(x)), key=lambda i: (y[i], x[i]))
-    return train(np.array(x).reshape(len(x), len(STATISTICS))[order], np.array(y, np.float64)[order], np.array(w, np.float64)[order])
+    found, shares = labelled_sample(keyed(docs, doc_id=doc_id, text=text), keyed(labels, doc_id=doc_id, label=label), crc_fold("doc_id", folds) == held, sample_rows, sample_chars)
+    rows = found.select("label", "text").mapInArrow(_measured, "label int, x array<double>").collect()
+    rows = sorted((r.label, r.x) for r in rows)
+    y = np.array([r[0] for r in rows], np.float64)
+    w = np.array([shares[r[0]] / (y == r[0]).sum() for r in rows])
+    return train(np.array([r[1] for r in rows]).reshape(len(rows), len(STATISTICS)), y, w)
 
 
 def _measured(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in stream:
-        yield pa.RecordBatch.from_arrays([pa.array([statistics(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], names=["x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t) for t in blobs(batch.column(1))], pa.list_(pa.float64()))], names=["label", "x"])
 
 
 def _scored(shared, at: int, keep: int):

@@ -8,7 +8,8 @@ in every stretch of the order.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; sources are ordered by
 code point and weigh ``weights`` in turn; a source of size 0 has target 0 and none of its documents is taken; an
-empty table gives an empty result; repeated rows are sampled each on its own. Only the named columns are read.
+empty table gives an empty result; repeated rows are sampled each on its own, and rows that differ in any column keep
+one order. Only the named columns are read.
 
 Scale: the order is a prefix sum in two levels. Documents fall into cells (source, size class, hash); cells are counted
 with partial aggregation, summed within a class and over the classes of a source (both bounded by constants: 4,096
@@ -99,7 +100,7 @@ def sampled(order: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
         .join(aimed.alias("t"), same("c", "t"))
         .select("c.source", "c.class", "c.cell", (F.col("cells_before") + F.col("classes_before")).alias("start"), "source_size", "target")
     )
-    rank = Window.partitionBy("o.source", "o.class", "o.cell").orderBy("o.size", "o.tie", F.col("o.row").getField("doc_id") if "doc_id" in order.schema["row"].dataType.names else "o.tie")
+    rank = Window.partitionBy("o.source", "o.class", "o.cell").orderBy("o.size", "o.tie", F.xxhash64("o.row"))
     ranked = order.alias("o").join(starts.alias("s"), same("o", "s", "class", "cell")).withColumn("place", F.col("start") + F.row_number().over(rank))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("place") * rate + F.lit(offset(seed))) - F.floor((F.col("place") - 1) * rate + F.lit(offset(seed)))

@@ -13,6 +13,7 @@ from folioscope.operators import boxes as B
 from folioscope.operators import capability as C
 from folioscope.operators import markdown as M
 from folioscope.operators import pages as G
+from folioscope.operators import pixels as PX
 from folioscope.operators import records as R
 from folioscope.plans import fixtures as X
 from folioscope.plans.oracles import SQL
@@ -244,11 +245,59 @@ def navigation_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.length("t.html").alias("chars"), F.locate("<nav id=\"TOC\"", F.col("t.html")).alias("at"), "t.kept", "t.dropped")
 
 
+def stitched_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines stitched from their fragments."""
+    return X.lines(spark, sf_dir, X.BREAKS).select("doc_id", "pos", T.stitched(F.split("line", "(?<=e)", -1)).alias("text"))
+
+
+def style_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading levels from styles."""
+    found = X.lines(spark, sf_dir).selectExpr("doc_id", "pos", f"{X.STYLE} as style", f"{X.OUTLINE} as outline")
+    return found.select("doc_id", "pos", T.style_level(F.col("style"), F.col("outline")).alias("level"))
+
+
+def panel_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids, layouts and lists of panels, read from arguments."""
+    found = table(spark, sf_dir, "documents").select("doc_id", T.grid_of(F.expr(X.GRID)).alias("g"), T.layout_of(F.expr(X.LAYOUT)).alias("l"), T.expected_of(F.expr(X.EXPECT)).alias("e"))
+    return found.select("doc_id", "g.rows", "g.cols", joined("l").alias("layout"), joined(F.array_sort("e")).alias("expect"))
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pages as one text, by length and digest."""
+    made = G.text_file(X.lines(spark, sf_dir).selectExpr("doc_id", "cast(pos + 1 as int) as page", "case when pos % 5 = 2 then '' else line end as text"))
+    return made.select("doc_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def label_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with labels and crops of every figure."""
+    crops, texts, _ = X.panels(spark, sf_dir)
+    return B.label_problems(B.label_hits(crops, B.panel_labels(texts))).select("fig_id", F.array_join("problems", "; ").alias("problems"), "status")
+
+
+def texts_in_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops that hold each recognised text whole."""
+    crops, texts, _ = X.panels(spark, sf_dir)
+    inner = texts.select("fig_id", *[F.col(c).alias(f"t_{c}") for c in ("text", "x0", "y0", "x1", "y1")])
+    return crops.join(inner, "fig_id").where(B.contains("", "t_")).select("fig_id", "name", F.col("t_text").alias("text"))
+
+
+def capability_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every machine's probes as lines, by length and digest."""
+    made = C.report(X.probes(spark, sf_dir))
+    return made.select("machine", F.length("report").alias("chars"), F.md5(F.col("report").cast("binary")).alias("digest"))
+
+
+def panel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panels cut from the pixels of every figure."""
+    return PX.split_figures(X.figures(spark, sf_dir)).select("fig_id", "panel", "x0", "y0", "x1", "y1", "status")
+
+
 _QUERIES = (
     figure_census, figure_consistency, caption_first_per_number, section_skip_latch, heading_guess, doc_manifest, figure_numbering_zip,
     furniture_upper_median, media_first_seen_names, rendered_markdown, page_figure_rules, scanned_documents, render_zoom, panel_letters,
     page_ranges, fence_parity, heading_slugs, toc_entries, toc_strip, toc_insert, chunk_split, figure_chunk_number, image_conservation,
     relocate_figures, pair_captions, figure_regions, panel_labels, label_in_box, panel_furniture, segmentation_score, best_gutter,
+    stitched_text, style_levels, panel_specs, page_text, label_problems, texts_in_crops, capability_report, panel_split,
     reading_order, merge_to_count, capability_verdict, html_heading_census, navigation_tidy,
 )
 

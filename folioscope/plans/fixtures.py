@@ -6,6 +6,8 @@ expressions are functions of doc_id, pos and line only.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,12 @@ CHUNKS = """case when pos%9=2 then '![图 '||(1+pos%5)||' x](media/fig0'||(1+pos
      when pos%9=7 then '![plain](a/b.png)'
      when pos%4=1 then ''
      else line end"""
+BREAKS = "replace(replace(line, 'tion ', 'tion- '), 'er ', 'e­r  ')"
+STYLE = "case pos%7 when 0 then 'Heading '||(1+pos%9) when 1 then 'heading3' when 2 then 'Title' when 3 then 'Heading 12' when 4 then 'Body' end"
+OUTLINE = "case pos%3 when 0 then cast(pos%11 as string) when 1 then 'x' end"
+GRID = "case doc_id%5 when 0 then (1+doc_id%4)||'x'||(2+doc_id%3) when 1 then ' 3 * 12 ' when 2 then '4 by 3' when 3 then '2X'||(doc_id%7) else '' end"
+LAYOUT = "case doc_id%5 when 0 then (1+doc_id%4)||','||(2+doc_id%3)||'+1' when 1 then ' 3 2' when 2 then '4,x' when 3 then '2,0' else '' end"
+EXPECT = "case doc_id%5 when 0 then 'a-'||char(cast(97+doc_id%6 as int)) when 1 then 'A, b,a' when 2 then 'a1 a2+b' when 3 then 'd-b,c' else '' end"
 WIDTH = "cast(150+((doc_id*37+pos*53)%9)*120 as bigint)"
 HEIGHT = "cast(100+((doc_id*11+pos*29)%7)*150 as bigint)"
 RATIO = "cast((doc_id*13+pos*7)%40 as double)/400"
@@ -92,3 +100,24 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROBE = "(c_custkey * (k + 3) + k) % 5 not in (0, 2)"
+
+
+def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One picture per document: dark panels in two rows on a light ground, with the texts that name them."""
+
+    def draw(batches):
+        for pdf in batches:
+            rows = []
+            for fig in pdf["fig_id"].tolist():
+                cols = 2 + fig % 2
+                picture = np.full((90, 40 * cols + 10, 3), 245, np.uint8)
+                ocr = []
+                for k in range(2 * cols):
+                    x, y = 10 + 40 * (k % cols), 10 + 40 * (k // cols)
+                    picture[y : y + 28, x : x + 26] = 20 + fig % 50
+                    ocr.append({"text": f"({chr(97 + k)})", "x0": x, "y0": y, "x1": x + 6, "y1": y + 6})
+                rows.append((fig, *picture.shape, picture[:, :, ::-1].tobytes(), ocr, [cols, cols] if fig % 3 == 0 else None, [chr(97 + k) for k in range(2 * cols)] if fig % 3 == 1 else None))
+            yield pd.DataFrame(rows, columns=["fig_id", "height", "width", "nChannels", "data", "ocr", "layout", "expect"])
+
+    ids = table(spark, sf_dir, "documents").selectExpr("doc_id as fig_id")
+    return ids.mapInPandas(draw, "fig_id bigint, height int, width int, nChannels int, data binary, ocr array<struct<text:string,x0:int,y0:int,x1:int,y1:int>>, layout array<int>, expect array<string>")

@@ -194,4 +194,29 @@ qualify row_number() over (partition by fig_id order by (panels = 2 + fig_id % 4
   c as (select *, case when not pymupdf then 1 when usable <> '' then 0 else 4 end as code from u)
 select machine, usable, code, case when code = 0 then (converter and not lxml)::int + (not imaging or not ocr)::int + (not (ocr or vision))::int + (not converter)::int + (not vision)::int else 0 end as limits from c""",
     "html_heading_census": "select page_id, len(regexp_extract_all(html, '<h1[ >]')) as titles, len(regexp_extract_all(html, '<nav[ >]')) as navs, len(regexp_extract_all(html, '<li[ >]')) as items from pages",
+    "stitched_text": f"""select doc_id, cast(pos as int) as pos, trim(regexp_replace(regexp_replace(replace(line, chr(173), ''), '(\\w)-\\s+([a-z])', '\\1\\2', 'g'), '\\s+', ' ', 'g')) as text from {_lines(X.BREAKS)}""",
+    "style_levels": f"""with s as (select doc_id, pos, {X.STYLE} as style, {X.OUTLINE} as outline from {X.LINES})
+select doc_id, cast(pos as int) as pos, case when regexp_matches(coalesce(style, ''), '{P.HEADING_STYLE}') then cast(regexp_extract(style, '{P.HEADING_STYLE}', 1) as int)
+       when lower(style) in ('title', 'subtitle') then 1 when try_cast(outline as int) is not null then least(9, try_cast(outline as int) + 1) else 0 end as level from s""",
+    "panel_specs": f"""with s as (select doc_id, trim({X.GRID}) as g, trim({X.LAYOUT}) as l, trim({X.EXPECT.replace("char(", "chr(")}) as e from documents),
+  n as (select *, regexp_extract(g, '^(\\d+)\\s*[xX*]\\s*(\\d+)$', 1) as r, regexp_extract(g, '^(\\d+)\\s*[xX*]\\s*(\\d+)$', 2) as c, list_filter(regexp_split_to_array(l, '[,+\\s]+'), lambda p: p <> '') as parts from s),
+  p as (select doc_id, unnest(list_filter(regexp_split_to_array(e, '[,\\s+]+'), lambda p: p <> '')) as part from s),
+  names as (select doc_id, unnest(case when regexp_matches(part, '(?i)^([a-z])-([a-z])$') then [chr(cast(i as int)) for i in range(ascii(lower(part[1])), ascii(lower(part[3])) + 1)] else [lower(part)] end) as name from p),
+  x as (select doc_id, string_agg(distinct name, ',' order by name) as expect from names group by doc_id)
+select n.doc_id, try_cast(nullif(r, '') as int) as rows, try_cast(nullif(c, '') as int) as cols,
+       case when len(parts) > 0 and len(list_filter(parts, lambda p: coalesce(try_cast(p as int), 0) < 1)) = 0 then array_to_string(parts, ',') end as layout, coalesce(expect, '') as expect
+from n left join x using (doc_id)""",
+    "page_text": f"""with p as (select doc_id, pos, case when pos % 5 = 2 then '' else line end as t from {X.LINES}),
+  m as (select doc_id, string_agg(chr(10) || '===== PAGE ' || (pos + 1) || ' =====' || chr(10) || chr(10) || case when t = '' then '[no text layer]' else t end || chr(10), '' order by pos) as t from p group by doc_id)
+select doc_id, cast(length(t) as int) as chars, md5(t) as digest from m""",
+    "label_problems": f"""with {_LABELS}, c as (select *, count(name) over (partition by fig_id, name) as crowd from pairs),
+  h as (select fig_id, label, name, case when name is not null then crowd else 0 end as crowd from c qualify row_number() over (partition by fig_id, label order by ord nulls last, name) = 1),
+  w as (select distinct fig_id, unnest([case when name is null then 'label ' || label || ' is outside every crop' when name <> label then 'label ' || label || ' is in crop ' || name end,
+                                        case when crowd > 1 then 'crop ' || name || ' holds several labels' end]) as problem from h),
+  g as (select fig_id, string_agg(problem, '; ' order by problem) as problems from w where problem is not null group by fig_id)
+select f.fig_id, coalesce(problems, '') as problems, case when problems is null then 0 else 3 end as status from (select distinct fig_id from labels) f left join g using (fig_id)""",
+    "texts_in_crops": f"""with {_LABELS} select c.fig_id, c.name, t.text from crops c join texts t on t.fig_id = c.fig_id and t.x0 >= c.x0 - 2 and t.y0 >= c.y0 - 2 and t.x1 <= c.x1 + 2 and t.y1 <= c.y1 + 2""",
+    "capability_report": f"""with p as (select cast(c_custkey as varchar) as machine, k, key, {X.PROBE} as ok from (select c_custkey, k, ['pymupdf', 'lxml', 'imaging', 'converter', 'ocr', 'vision', 'pandoc', 'browser'][k + 1] as key from customer, range(0, 8) r(k))),
+  m as (select machine, string_agg(case when ok then '  ok  ' else '  NO  ' end || rpad(key, 22, ' ') || ' d' || case when ok then '' else chr(10) || '      -> f' end, chr(10) order by k) as t from p group by machine)
+select machine, cast(length(t) as int) as chars, md5(t) as digest from m""",
 }

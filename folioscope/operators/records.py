@@ -50,14 +50,18 @@ def classify(records: DataFrame) -> DataFrame:
     )
 
 
+def _figures() -> list[Column]:
+    """Aggregates of one document's records: caption numbers, and its whole text in order."""
+    texts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text"))))
+    return [
+        F.array_sort(F.collect_set(F.when(F.col("class") == "caption", F.col("figure")))).alias("captions"),
+        F.array_join(F.transform(texts, lambda r: r["text"]), " ").alias("_text"),
+    ]
+
+
 def census(records: DataFrame) -> DataFrame:
     """Per document the numbers that captions carry and those that the text refers to (arrays)."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text")))), lambda r: r["text"]), " ")
-    found = records.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("class") == "caption", F.col("figure")))).alias("captions"),
-        text.alias("_text"),
-    )
-    return found.select("doc_id", "captions", T.figure_numbers(F.col("_text")).alias("referenced"))
+    return records.groupBy("doc_id").agg(*_figures()).select("doc_id", "captions", T.figure_numbers(F.col("_text")).alias("referenced"))
 
 
 def furniture_floor(sizes: DataFrame) -> DataFrame:
@@ -114,9 +118,11 @@ def manifest(records: DataFrame, numbered: DataFrame) -> DataFrame:
         F.count_if(body).alias("paragraphs"),
         F.coalesce(F.sum(F.when(body, F.length("text"))), F.lit(0)).cast("bigint").alias("chars"),
         F.count_if(~F.col("translate")).alias("skipped"),
+        *_figures(),
     )
+    counts = counts.withColumn("referenced", T.figure_numbers(F.col("_text"))).drop("_text")
     shown = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_set("figure")).alias("numbered"))
-    joined = counts.join(census(records), "doc_id").join(shown, "doc_id", "left").withColumn("numbered", F.coalesce("numbered", F.array().cast("array<int>")))
+    joined = counts.join(shown, "doc_id", "left").withColumn("numbered", F.coalesce("numbered", F.array().cast("array<int>")))
     return joined.withColumn("problems", problems(F.col("captions"), F.col("referenced"), F.col("numbered"))).withColumn("status", F.when(F.size("problems") > 0, 3).otherwise(0))
 
 

@@ -86,3 +86,7 @@ def test_style_levels(spark):
     for style, outline, level in rows:
         df = spark.createDataFrame([(style, outline)], "s string, o string")
         assert df.select(T.style_level(F.col("s"), F.col("o")).alias("y")).first().y == level
+
+
+def test_captions_with_a_bar(spark):
+    assert value(spark, lambda c: T.figure_numbers(c, "CAPTION_BAR"), "Fig. 3 | x, Fig. 4. y, Extended Data Fig. 5 | z") == [3]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import ship, table
 
-__all__ = ["blobs", "crc_fold", "keyed", "labelled_sample", "materialise", "shared_dir", "ship", "table", "utf8_words"]
+__all__ = ["blobs", "crc_fold", "few", "keyed", "labelled_sample", "materialise", "shared_dir", "ship", "table", "utf8_words"]
 
 #: Turns every ASCII byte that is neither a letter nor a digit into a space; bytes of other characters stay.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -68,6 +68,11 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int, a_task: int) -> DataFrame:
+    """The same rows in as few tasks as ``a_task`` rows each need; never in more than before."""
+    return df.coalesce(max(1, -(-rows // a_task)))
+
+
 def batches(rows: Iterator[dict], schema: pa.Schema, size: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches of a stream of dictionaries."""
     held: list[dict] = []

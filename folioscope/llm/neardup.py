@@ -8,8 +8,9 @@ for a and b shingles: an edit similarity over shingles that also bounds how far
 only that band is aligned. Classes are the connected components of links.
 
 Texts that are equal word by word are one node from the start, so copies are never compared. Within a bucket no pairs are
-listed: each round takes one centre per bucket, chosen by a hash that differs by bucket and round, and compares it with
-the members that are not yet in its component; rounds go on until one finds no new link.
+listed: each round takes one centre per bucket, compares it with the members that are not yet in its component, and takes
+it out of the bucket. The centre is the member whose buckets hold the most texts: among the copies of an original that is
+the original, which the copies resemble more than each other. Rounds go on until one finds no new link.
 
 Defined results: a text without words equals only the texts that are the same character by character; null is the empty
 text; the class id is the smallest doc_id of the class (null last), and all rows that repeat it share ``kept``; an empty
@@ -29,13 +30,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import blobs, keyed, materialise, ship, table, utf8_words
+from folioscope.llm.common import blobs, few, keyed, materialise, ship, table, utf8_words
 
 SIZE, BANDS, LENGTH, LEAST = 5, 16, 3, 0.8
 REMEMBERED = 400_000
+#: Rows of ids, and pairs to align, that are worth a task of their own.
+SLIM, ALIGNED = 200_000, 2_000
 
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, (64, 2), dtype=np.uint64) | np.uint64(1)
 _STEPS = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -171,34 +174,34 @@ def _verified(size: int, least: float):
         known: dict[bytes, int] = {}
         last: tuple[bytes | None, np.ndarray | None] = (None, None)
         for batch in stream:
-            a, b, left, right = (c.to_pylist() for c in batch.columns)
+            a, left, right, *roots = (c.to_pylist() for c in batch.columns)
             good = []
             for i in range(len(a)):
                 if last[0] != a[i]:
                     last = (a[i], shingles(left[i].split(), known, size))
                 if similar(last[1], shingles(right[i].split(), known, size), least):
                     good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in good], pa.binary()) for x in (a, b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in good], pa.binary()) for x in roots], names=["a", "b"])
 
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """The connected components of links (a, b): one row (key, root) per node, root the least node of its component.
 
-    Large and small stars alternate: neighbours move to the least node seen until every component is a star.
+    Large and small stars alternate: neighbours move to the least node seen until every component is a star. ``rows`` is
+    the number of links, if it is known; few links get few tasks.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges, seen = materialise(edges, "edges"), None
+    rows = links.count() if rows is None else rows
+    kept = lambda df: materialise(few(df, 2 * rows, SLIM), "edges")
+    edges, seen = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "edges")
-        lower = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(lower, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(small, "edges")
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lower = kept(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = kept(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
@@ -213,30 +216,37 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     made = materialise(read.mapInArrow(_sketched(size, bands, length), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key binary, n int, sketch array<bigint>"), "sketches")
     nodes = made.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     members = materialise(nodes.select("key", "n", F.explode("sketch").alias("bucket")), "members")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    members = materialise(members.join(materialise(shared, "buckets"), "bucket", "left_semi"), "members")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    spread = F.sum("c").over(Window.partitionBy("key"))
+    members = materialise(members.join(materialise(shared, "buckets"), "bucket").select("bucket", "key", "n", spread.alias("weight"), F.col("key").alias("root")), "members")
     wanted = members.select("key").distinct()
     words = materialise(read.select("text").mapInArrow(_worded, "key binary, words binary").groupBy("key").agg(F.first("words").alias("words")).join(wanted, "key", "left_semi"), "words")
-    roots = links = tried = None
-    turn = 0
+    roots = tried = None
     while True:
-        now = members.withColumn("root", F.col("key")) if roots is None else members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        now = now if roots is None else materialise(now, "members")
-        first = F.min(F.struct(F.xxhash64("key", "bucket", F.lit(turn)).alias("h"), "key", "n", "root")).alias("c")
-        centres = now.groupBy("bucket").agg(first, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket", F.col("c.key").alias("a"), F.col("c.n").alias("an"), F.col("c.root").alias("ar"))
+        many = members.count()
+        first = F.min(F.struct((-F.col("weight")).alias("w"), F.xxhash64("key", "bucket").alias("h"), "key", "n", "root")).alias("c")
+        centres = members.groupBy("bucket").agg(first, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket", F.col("c.key").alias("a"), F.col("c.n").alias("an"), F.col("c.root").alias("ar"))
+        split = materialise(few(members.join(materialise(few(centres, many, SLIM), "centres"), "bucket"), many, SLIM), "split")
         near = f"root <> ar and least(n, an) >= {least} * greatest(n, an)"
-        pairs = now.join(materialise(centres, "centres"), "bucket").where(near).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+        order = lambda x, y: F.when(F.col("a") < F.col("key"), F.col(x)).otherwise(F.col(y))
+        pairs = split.where(near).select(order("a", "key").alias("a"), order("key", "a").alias("b"), order("ar", "root").alias("ra"), order("root", "ar").alias("rb")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+        pairs = materialise(few(pairs, many, SLIM), "pairs")
         both = pairs.join(words.select(F.col("key").alias("b"), F.col("words").alias("right")), "b").join(words.select(F.col("key").alias("a"), F.col("words").alias("left")), "a")
-        found = materialise(both.select("a", "b", "left", "right").mapInArrow(_verified(size, least), "a binary, b binary"), "links")
-        if found.isEmpty():
+        tested = pairs.count()
+        checked = few(both, tested, ALIGNED).select("a", "left", "right", "ra", "rb").mapInArrow(_verified(size, least), "a binary, b binary")
+        found = materialise(few(checked.distinct(), tested, SLIM), "links")
+        links = found.count()
+        if not links:
             break
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        roots = components(links)
-        turn += 1
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        moved = materialise(few(components(found, links), 2 * links, SLIM), "moved")
+        members = materialise(few(split.where("key <> a").select("bucket", "key", "n", "weight", "root").join(moved.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("bucket", "key", "n", "weight", F.coalesce("to", "root").alias("root")), many, SLIM), "members")
+        if roots is not None:
+            before = roots.join(moved.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
+            moved = before.unionByName(moved).groupBy("key").agg(F.min("root").alias("root"))
+        roots = materialise(moved, "roots")
     if roots is None:
         return made.select("doc_id", "key", F.col("key").alias("root"))
     return made.join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))

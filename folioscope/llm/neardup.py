@@ -7,10 +7,13 @@ A candidate pair is a link if the longest common subsequence m of both sequences
 for a and b shingles: an edit similarity over shingles that also bounds how far an alignment may leave the diagonal, so
 only that band is aligned. Classes are the connected components of links.
 
-Texts that are equal word by word are one node from the start, so copies are never compared. Within a bucket no pairs are
-listed: each round takes one centre per bucket, compares it with the members that are not yet in its component, and takes
-it out of the bucket. The centre is the member whose buckets hold the most texts: among the copies of an original that is
-the original, which the copies resemble more than each other. Rounds go on until one finds no new link.
+Texts that are equal word by word are one node from the start, so copies are never compared. First each round takes one
+centre per bucket, compares it with the members that are not yet in its component, and takes it out of the bucket. The
+centre is the member whose buckets hold the most texts: among the copies of an original that is the original, which the
+copies resemble more than each other. Rounds contract components cheaply and go on until one finds no new link. Then, in
+every bucket that still holds members of several components, all pairs of them are compared: every two texts that share a
+bucket end in one component or have been compared. Each text has a bitmap of its shingles; the cells that one text sets
+and the other does not are shingles that no alignment has, so most unlike pairs are dropped exactly and unlisted.
 
 Defined results: a text without words equals only the texts that are the same character by character; null is the empty
 text; the class id is the smallest doc_id of the class (null last), and all rows that repeat it share ``kept``; an empty
@@ -19,13 +22,16 @@ table gives an empty result; only the named columns are read by classes(), and d
 Scale: sketches are 8 x ``bands`` bytes a document and made in one pass. Buckets, centres and copies are formed with
 partial aggregation; they go back to their members by equi joins of written tables, which adaptive execution splits where
 a bucket or group is large. Words of documents that share no bucket are not compared; each round's pairs are linear in the
-members. Links and components stay in tables in the shared folder; nothing about documents is collected.
+members. In a bucket of unlike texts the comparison of bitmaps grows with the square of the members that are left; blocks
+of members spread it over tasks, and only pairs that the bitmaps leave open become rows. Links and components stay in
+tables in the shared folder; nothing about documents is collected.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,8 @@ SIZE, BANDS, LENGTH, LEAST = 5, 16, 3, 0.8
 REMEMBERED = 400_000
 #: Rows of ids, and pairs to align, that are worth a task of their own.
 SLIM, ALIGNED = 200_000, 2_000
+#: Members of a bucket that are compared with each other in one go, about.
+BLOCK = 256
 
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, (64, 2), dtype=np.uint64) | np.uint64(1)
 _STEPS = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -141,6 +149,45 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     return m > 0 and m >= least * (len(a) + len(b) - m)
 
 
+def marks(s: np.ndarray) -> bytes:
+    """A bitmap of a text's shingles, repeats told apart: 4 to 8 cells for each, a power of two in all."""
+    cells = max(64, 1 << (4 * len(s) - 1).bit_length())
+    out = np.zeros(cells, np.bool_)
+    out[_mixed(s + occurrences(s) * _STEPS[63]) & np.uint64(cells - 1)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _folded(bitmap: bytes, size: int) -> np.ndarray:
+    return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def possible(rows: list[tuple[int, bytes, int, bytes]], least: float = LEAST) -> Iterator[tuple[int, int]]:
+    """Places of pairs with unlike roots that can be a link, of rows (block, root, n, bitmap); two blocks pair crosswise.
+
+    A cell that only one of two texts sets has a shingle that the other lacks, which bounds their common subsequence.
+    """
+    order, known = sorted(range(len(rows)), key=lambda i: rows[i][2]), {}
+    sides, roots, ns = np.array([(rows[i][0], known.setdefault(rows[i][1], len(known)), rows[i][2]) for i in order]).T
+    crosswise = bool((sides != sides[0]).any())
+    ends = np.searchsorted(ns * least, ns, side="right")
+    held: tuple[int, int, np.ndarray | None] = (0, 0, None)
+    for i in range(len(order) - 1):
+        end, width = int(ends[i]), len(rows[order[i]][3])
+        if end <= i + 1:
+            continue
+        if held[0] != width or held[2] is None or held[1] + len(held[2]) < end:
+            last = int(ends[np.searchsorted(ns, ns[i : i + BLOCK][-1], side="right") - 1])
+            held = (width, i, np.stack([_folded(rows[k][3], width) for k in order[i:max(end, last)]]))
+        own, others = held[2][i - held[1]], held[2][i + 1 - held[1] : end - held[1]]
+        n = ns[i + 1 : end]
+        most = np.minimum(ns[i] - np.bitwise_count(own & ~others).sum(axis=1, dtype=np.int64), n - np.bitwise_count(others & ~own).sum(axis=1, dtype=np.int64))
+        fits = (most >= least * (ns[i] + n - most)) & (roots[i + 1 : end] != roots[i])
+        if crosswise:
+            fits &= sides[i + 1 : end] != sides[i]
+        for k in np.flatnonzero(fits):
+            yield order[i], order[i + 1 + int(k)]
+
+
 def text_key(text: bytes | None, words: list[bytes]) -> bytes:
     """128 bits that texts share if their words agree, or if they have none and are the same."""
     return hashlib.sha256(b"w" + b" ".join(words) if words else b"t" + (text or b"")).digest()[:16]
@@ -169,6 +216,39 @@ def _worded(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([text_key(t, w) for t, w in zip(texts, words, strict=True)], pa.binary()), pa.array([b" ".join(w) for w in words], pa.binary())], names=["key", "words"])
 
 
+def _marked(size: int):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in stream:
+            made = [marks(shingles(w.split(), known, size)) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "marks"])
+
+    return run
+
+
+def _paired(least: float):
+    """Pairs that can be links of rows (bucket, i, j, own, key, n, root, marks), which come sorted by block pair."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in stream for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out: list[tuple] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*out, strict=True)], names=["a", "b", "ra", "rb"])
+        for (_, i, j), members in groupby(rows, key=lambda r: r[:3]):
+            held = list(members)
+            if len({r[6] for r in held}) < 2 or i != j and len({r[3] for r in held}) < 2:
+                continue
+            for x, y in possible([(r[3], r[6], r[5], r[7]) for r in held], least):
+                (a, ra), (b, rb) = sorted(((held[x][4], held[x][6]), (held[y][4], held[y][6])))
+                out.append((a, b, ra, rb))
+            if len(out) >= 4096:
+                yield made()
+                out = []
+        if out:
+            yield made()
+
+    return run
+
+
 def _verified(size: int, least: float):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -209,6 +289,24 @@ def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
 
 
+def _left_open(members: DataFrame, words: DataFrame, size: int, least: float) -> DataFrame | None:
+    """All pairs (a, b, ra, rb) of members (bucket, key, n, root) with one bucket, unlike roots and bitmaps that allow a link.
+
+    Members of a bucket's largest component, in blocks of their own, meet only the blocks of the others.
+    """
+    by_root = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = by_root.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all")).where("all > top.c").selectExpr("bucket", "top.root as top", f"cast(ceil(top.c / {BLOCK}) as int) as g", f"cast(ceil((all - top.c) / {BLOCK}) as int) as h")
+    left = materialise(members.join(mixed, "bucket"), "left")
+    if left.isEmpty():
+        return None
+    bitmaps = materialise(words.join(left.select("key").distinct(), "key", "left_semi").select("key", "words").mapInArrow(_marked(size), "key binary, marks binary"), "marks")
+    own = left.withColumn("own", F.expr("cast(if(root = top, h + pmod(xxhash64(key, bucket), g), pmod(xxhash64(key, bucket), h)) as int)"))
+    met = own.withColumn("other", F.explode(F.expr("sequence(0, if(root = top, h, h + g) - 1)")))
+    dealt = met.join(bitmaps, "key").select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "root", "marks")
+    blocks = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return blocks.mapInArrow(_paired(least), "a binary, b binary, ra binary, rb binary").distinct()
+
+
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, bands: int = BANDS, length: int = LENGTH, least: float = LEAST) -> DataFrame:
     """One row per document: doc_id, key of its words, root key of its class."""
     ship(docs.sparkSession)
@@ -221,6 +319,19 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     members = materialise(members.join(materialise(shared, "buckets"), "bucket").select("bucket", "key", "n", spread.alias("weight"), F.col("key").alias("root")), "members")
     wanted = members.select("key").distinct()
     words = materialise(read.select("text").mapInArrow(_worded, "key binary, words binary").groupBy("key").agg(F.first("words").alias("words")).join(wanted, "key", "left_semi"), "words")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(words.select(F.col("key").alias("b"), F.col("words").alias("right")), "b").join(words.select(F.col("key").alias("a"), F.col("words").alias("left")), "a")
+        tested = pairs.count()
+        checked = few(both, tested, ALIGNED).select("a", "left", "right", "ra", "rb").mapInArrow(_verified(size, least), "a binary, b binary")
+        return materialise(few(checked.distinct(), tested, SLIM), "links")
+
+    def merged(roots: DataFrame | None, moved: DataFrame) -> DataFrame:
+        if roots is not None:
+            before = roots.join(moved.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
+            moved = before.unionByName(moved).groupBy("key").agg(F.min("root").alias("root"))
+        return materialise(moved, "roots")
+
     roots = tried = None
     while True:
         many = members.count()
@@ -233,20 +344,20 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(few(pairs, many, SLIM), "pairs")
-        both = pairs.join(words.select(F.col("key").alias("b"), F.col("words").alias("right")), "b").join(words.select(F.col("key").alias("a"), F.col("words").alias("left")), "a")
-        tested = pairs.count()
-        checked = few(both, tested, ALIGNED).select("a", "left", "right", "ra", "rb").mapInArrow(_verified(size, least), "a binary, b binary")
-        found = materialise(few(checked.distinct(), tested, SLIM), "links")
+        found = linked(pairs)
         links = found.count()
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         if not links:
             break
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         moved = materialise(few(components(found, links), 2 * links, SLIM), "moved")
         members = materialise(few(split.where("key <> a").select("bucket", "key", "n", "weight", "root").join(moved.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("bucket", "key", "n", "weight", F.coalesce("to", "root").alias("root")), many, SLIM), "members")
-        if roots is not None:
-            before = roots.join(moved.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
-            moved = before.unionByName(moved).groupBy("key").agg(F.min("root").alias("root"))
-        roots = materialise(moved, "roots")
+        roots = merged(roots, moved)
+    pairs = _left_open(split.where("key <> a").select("bucket", "key", "n", "root"), words, size, least)
+    if pairs is not None:
+        found = linked(materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"))
+        links = found.count()
+        if links:
+            roots = merged(roots, components(found, links))
     if roots is None:
         return made.select("doc_id", "key", F.col("key").alias("root"))
     return made.join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))

@@ -174,6 +174,45 @@ def test_near_duplicates_agree_with_all_pairs(spark):
     assert neardup.classes(docs.limit(0)).count() == 0 and neardup.distinct(docs.limit(0)).count() == 0
 
 
+def family_fixture():
+    """Unlike texts of a family that share a long passage, a few of them with one near copy in the family."""
+    r = random.Random(4)
+    passage = [f"licence{i}" for i in range(264)]
+    texts = []
+    for k in range(200):
+        own = [f"own{k}x{i}" for i in range(44)]
+        texts.append(" ".join(passage + own))
+        if k % 20 == 3:
+            texts.append(" ".join(passage + own[:16] + [f"other{k}x{i}" for i in range(28)]))
+    r.shuffle(texts)
+    return texts
+
+
+def test_near_pairs_inside_a_family_agree_with_all_pairs(spark, monkeypatch):
+    texts = family_fixture()
+    want = partition(enumerate(brute_classes(texts)))
+    assert len(want) == 200 and max(map(len, want)) == 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert partition((r.doc_id, r.class_id) for r in neardup.classes(docs).collect()) == want
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    assert partition((r.doc_id, r.class_id) for r in neardup.classes(docs).collect()) == want
+
+
+def test_bitmaps_never_drop_a_link():
+    r, known = random.Random(6), {}
+    words = []
+    for _ in range(60):
+        w = [f"w{r.randrange(r.choice([3, 40, 4000]))}" for _ in range(r.choice([1, 4, 9, 60, 130, 700]))]
+        words += [w] + [[x for x in w if r.random() > 0.02] + ["end"] * r.randrange(3) for _ in range(3)]
+    made = [neardup.shingles([x.encode() for x in w], known) for w in words]
+    links = {(i, j) for j in range(len(made)) for i in range(j) if neardup.similar(made[i], made[j])}
+    rows = [(0, b"%d" % i, len(s), neardup.marks(s)) for i, s in enumerate(made)]
+    found = {tuple(sorted(p)) for p in neardup.possible(rows)}
+    assert links <= found and len(links) > 60 and len(found) < len(rows) * (len(rows) - 1) // 4
+    halves = {tuple(sorted(p)) for p in neardup.possible([(i % 2, *row[1:]) for i, row in enumerate(rows)])}
+    assert halves == {(i, j) for i, j in found if (i + j) % 2}
+
+
 @needs_tables
 def test_near_duplicates_of_the_small_table(spark):
     docs = table(spark, SMALL, "documents").orderBy("doc_id").collect()

@@ -79,32 +79,42 @@ def match_captions(regions: list[tuple], found: list[tuple]) -> list[int | None]
     A region takes the nearest caption that is left on its page and overlaps it sideways; what remains on both sides is
     paired in order.
     """
-    open_ones = dict(enumerate(found))
+    open_ones: dict[int, dict[int, tuple]] = {}
+    for k, (p, *box) in enumerate(found):
+        open_ones.setdefault(p, {})[k] = box
     taken: list[int | None] = []
     for page, x0, y0, x1, y1 in regions:
         near = []
-        for k, (p, a0, b0, a1, b1) in open_ones.items():
+        for k, (a0, b0, a1, b1) in open_ones.get(page, {}).items():
             shared = min(x1, a1) - max(x0, a0)
-            if p == page and shared > P.PAIR_OVERLAP * min(x1 - x0, a1 - a0):
+            if shared > P.PAIR_OVERLAP * min(x1 - x0, a1 - a0):
                 near.append((min(abs(b0 - y1), abs(y0 - b1)), k))
         taken.append(min(near)[1] if near else None)
-        open_ones.pop(taken[-1], None)
-    rest = iter(list(open_ones))
+        open_ones.get(page, {}).pop(taken[-1], None)
+    rest = iter(sorted(k for held in open_ones.values() for k in held))
     return [next(rest, None) if k is None else k for k in taken]
 
 
 def pair_captions(regions: DataFrame, found: DataFrame) -> DataFrame:
-    """Regions (doc_id, idx, page, box) with the number of the caption that each takes; one document is one group."""
+    """Regions (doc_id, idx, page, box) with the number of the caption that each takes; one document is one row of lists."""
     ship(regions.sparkSession)
+    box = ["x0", "y0", "x1", "y1"]
+    item = lambda first, rest: F.struct(*[F.col(c).cast(t).alias(n) for c, t, n in ((first, "int", "k"), ("page", "int", "page"), *((c, "double", c) for c in rest))])
+    none = F.lit(None)
+    both = regions.select("doc_id", item("idx", box).alias("r"), none.alias("c")).unionByName(found.select("doc_id", none.alias("r"), item("num", ["y0", "x0", "x1", "y1"]).alias("c")))
+    gathered = both.groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("regions"), F.array_sort(F.collect_list("c")).alias("found"))
 
-    def pair(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        r, c = r.sort_values("idx"), c.sort_values(["num", "page", "y0"])
-        rows = lambda d: list(d[["page", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
-        places = match_captions(rows(r), rows(c))
-        numbers = c["num"].tolist()
-        return pd.DataFrame({"doc_id": r["doc_id"], "idx": r["idx"], "num": pd.array([None if k is None else numbers[k] for k in places], dtype="Int32")})
+    def pair(batches):
+        rows = lambda items: [(d["page"], *(d[c] for c in box)) for d in items]
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                numbers = [d["k"] for d in r.found]
+                out += [(r.doc_id, d["k"], None if k is None else numbers[k]) for d, k in zip(r.regions, match_captions(rows(r.regions), rows(r.found)), strict=True)]
+            made = pd.DataFrame(out, columns=["doc_id", "idx", "num"])
+            yield made.assign(doc_id=made["doc_id"].astype("Int64"), num=made["num"].astype("Int32"))
 
-    return regions.groupBy("doc_id").cogroup(found.groupBy("doc_id")).applyInPandas(pair, "doc_id bigint, idx int, num int")
+    return gathered.mapInPandas(pair, "doc_id bigint, idx int, num int")
 
 
 def _meets(a: tuple, b: tuple) -> bool:

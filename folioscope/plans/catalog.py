@@ -171,7 +171,7 @@ def toc_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of every document with their captions."""
-    base = X.lines(spark, sf_dir).where("pos < 12")
+    base = X.lines(spark, sf_dir)
     regions = base.where("pos % 2 = 0").selectExpr("doc_id", "cast(pos as int) as idx", "cast(1 + pos % 3 as int) as page", "cast((doc_id * pos) % 50 as double) as x0", "cast(pos * 10 as double) as y0", "cast((doc_id * pos) % 50 + 60 as double) as x1", "cast(pos * 10 + 30 as double) as y1")
     found = base.where("pos % 3 = 0").selectExpr("doc_id", "cast(pos + 1 as int) as num", "cast(1 + (pos + doc_id) % 3 as int) as page", "cast((doc_id + pos) % 40 as double) as x0", "cast(pos * 10 + 31 as double) as y0", "cast((doc_id + pos) % 40 + 70 as double) as x1", "cast(pos * 10 + 40 as double) as y1")
     return G.pair_captions(regions, found)

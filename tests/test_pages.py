@@ -56,3 +56,29 @@ def test_regions_take_labels_but_no_prose():
     found = G.regions_of(600, 800, art, [((90, 90, 110, 105), "(a)"), ((90, 310, 300, 320), "x" * 41), ((0, 100, 110, 110), "far column")])
     assert found == [(90, 90, 300, 300)]
     assert G.regions_of(600, 800, [(0, 0, 20, 20)], []) == []
+
+
+def brute_pairs(doc, count):
+    """The number that each region of a document of ``count`` lines takes, by trying all captions for every region."""
+    regions = [(p, 1 + p % 3, doc * p % 50, p * 10, doc * p % 50 + 60, p * 10 + 30) for p in range(0, count, 2)]
+    left = [(p + 1, 1 + (p + doc) % 3, (doc + p) % 40, p * 10 + 31, (doc + p) % 40 + 70, p * 10 + 40) for p in range(0, count, 3)]
+    out = {}
+    for idx, page, x0, y0, x1, y1 in regions:
+        fits = [c for c in left if c[1] == page and min(x1, c[4]) - max(x0, c[2]) > 0.3 * min(x1 - x0, c[4] - c[2])]
+        best = min(fits, key=lambda c: (min(abs(c[3] - y1), abs(y0 - c[5])), c[0]), default=None)
+        out[idx] = best and best[0]
+        left = [c for c in left if c is not best]
+    for idx in out:
+        if out[idx] is None and left:
+            out[idx] = left.pop(0)[0]
+    return out
+
+
+def test_pair_captions_takes_every_line(spark, tmp_path):
+    from folioscope.plans import catalog
+
+    counts = {1: 1, 2: 12, 3: 13, 4: 40, 5: 333, 6: 2}
+    spark.createDataFrame([(d, "\n".join(["x"] * n)) for d, n in counts.items()], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.pair_captions(spark, str(tmp_path)).collect()
+    assert len(rows) == sum((n + 1) // 2 for n in counts.values())
+    assert {(r.doc_id, r.idx): r.num for r in rows} == {(d, i): k for d, n in counts.items() for i, k in brute_pairs(d, n).items()}

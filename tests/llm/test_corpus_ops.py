@@ -365,3 +365,11 @@ def test_pipeline_stage_by_stage(spark):
     before, after = kept["sharding"]
     assert sorted(r.doc_id for r in before) == sorted(r.doc_id for r in after) and all(r.shard.startswith("b") for r in after)
     assert corpus_pipeline.run(spark, SMALL).count() == len(after)
+
+
+def test_pipeline_near_dedup_of_a_family_agrees_with_all_pairs(spark):
+    texts = family_fixture()
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars int")
+    left = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, None)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(brute_classes(texts)))

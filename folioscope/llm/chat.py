@@ -3,9 +3,9 @@
 A template is any function from a list of (role, text) to one string. Successive prefixes of a conversation are rendered
 and neighbours compared: what a turn adds to the output is the turn's span. Where an output does not begin with the one
 before it, the template rewrites history; such conversations are marked and get no spans. Inside a span the text is
-located by rendering the same prefix with a marker in place of the text. Long conversations are rendered over a sliding
-window of turns, and the spans count only if they join to the rendering of the whole conversation; otherwise every
-prefix is rendered in full.
+located by rendering the same prefix with a marker in place of the text. Every prefix is rendered, however long the
+conversation, since nothing less shows what a black box does with them. A text to learn that cannot be located is left
+out of the loss and counted in ``unlocated``.
 
 The default template stands each turn between control strings and escapes what looks like one inside roles and texts: a
 backslash is put between ``<`` with any backslashes after it and ``|``, and taken out again when read.
@@ -15,7 +15,8 @@ equal numbers and repeated rows keep one order; a null conversation id is a conv
 an empty result; only the named columns are read.
 
 Scale: one shuffle by conversation; rows are streamed in order and one conversation, which is one row of the output, is
-held at a time. Rendering costs at most ``window`` times the length of a conversation unless the template defeats it.
+held at a time. A conversation of n turns is rendered 2 n times, so its cost grows with n times its length: 3,000 short
+turns take about 2 s, 10,000 about 20 s. Many conversations spread over tasks; a single one cannot be split.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import pyarrow as pa
@@ -34,7 +36,6 @@ from folioscope.llm.common import batches, keyed, ship, table
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-WINDOW = 16
 MARKER = "\ue000\ue001"
 
 _CONTROL = re.compile(r"<(\\*)\|")
@@ -58,78 +59,48 @@ def unescape_role(role: str) -> str:
     return unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role))
 
 
-def chatml(turns: list[Turn]) -> str:
-    """The default template."""
-    return "".join([f"<|im_start|>{escape_role(r)}\n{escape(t)}<|im_end|>\n" for r, t in turns])
+def _stood(turn: Turn) -> str:
+    return f"<|im_start|>{escape_role(turn[0])}\n{escape(turn[1])}<|im_end|>\n"
 
 
-def parse(formatted: str) -> list[Turn]:
-    """The turns of a string that chatml() made."""
-    return [(unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
+_short = lru_cache(maxsize=1 << 14)(_stood)
 
 
-class RewritesHistory(ValueError):
-    """A later turn changes what was rendered for an earlier one."""
+def chatml(turns: list[Turn]) -> str:
+    """The default template. Short turns are remembered, because each prefix renders them again."""
+    return "".join([_short(t) if len(t[1]) < 1024 else _stood(t) for t in turns])
 
 
-def _added(turns: list[Turn], render: Template, first: int) -> list[tuple[str, int, int]]:
-    """For each turn from ``first`` what it adds to the prefix before it, and where its text stands in that."""
-    out, before = [], render(turns[:first])
-    for k in range(first, len(turns)):
-        after, probe = render(turns[: k + 1]), render([*turns[:k], (turns[k][0], MARKER)])
-        if not after.startswith(before) or not probe.startswith(before):
-            raise RewritesHistory(k)
-        piece, shape = after[len(before) :], probe[len(before) :]
-        head = shape.find(MARKER)
-        tail = len(shape) - head - len(MARKER)
-        if head < 0 or len(piece) < head + tail or piece[:head] != shape[:head] or piece[len(piece) - tail :] != shape[len(shape) - tail :]:
-            out.append((piece, -1, -1))
-        else:
-            out.append((piece, head, len(piece) - tail))
-        before = after
-    return out
+def parse(formatted: str) -> list[Turn]:
+    """The turns of a string that chatml() made."""
+    return [(unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def locate(turns: list[Turn], render: Template = chatml, window: int = WINDOW) -> tuple[str, list[tuple[int, int, int, int]] | None]:
+def locate(turns: list[Turn], render: Template = chatml) -> tuple[str, list[tuple[int, int, int, int]] | None]:
     """The rendering of a conversation and for each turn (start, end, start of its text, end of its text).
 
     A text that cannot be located has -1 twice; the spans are None if the template rewrites history.
     """
-    whole = render(turns)
-    added: list[tuple[str, int, int]] | None = None
-    if len(turns) > window:
-        try:
-            added = []
-            for s in range(0, len(turns), window):
-                near = max(0, s - window)
-                added += _added(turns[near : s + window], render, s - near)
-        except RewritesHistory:
-            added = None
-        if added is not None and "".join([a[0] for a in added]) != whole:
-            added = None
-    if added is None:
-        try:
-            added = _added(turns, render, 0)
-        except RewritesHistory:
-            return whole, None
-        if len(whole) > sum(len(a[0]) for a in added):  # what stands before the first turn
-            lead = len(whole) - sum(len(a[0]) for a in added)
-        else:
-            lead = 0
-    else:
-        lead = 0
-    spans, at = [], lead
-    for piece, a, b in added:
-        spans.append((at, at + len(piece), at + a if a >= 0 else -1, at + b if a >= 0 else -1))
-        at += len(piece)
-    return whole, spans
+    before = render([])
+    spans: list[tuple[int, int, int, int]] = []
+    for k, (role, _) in enumerate(turns):
+        after, probe = render(turns[: k + 1]), render([*turns[:k], (role, MARKER)])
+        if not after.startswith(before) or not probe.startswith(before):
+            return render(turns), None
+        at = len(before)
+        head = probe.find(MARKER, at)
+        tail = len(probe) - head - len(MARKER)
+        found = head >= 0 and len(after) >= head + tail and after.startswith(probe[at:head], at) and after.endswith(probe[len(probe) - tail :])
+        spans.append((at, len(after), head, len(after) - tail) if found else (at, len(after), -1, -1))
+        before = after
+    return before, spans
 
 
 _SPANS = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "end", "text_start", "text_end")]))
 _SPANS_SQL = "array<struct<start:bigint,end:bigint,text_start:bigint,text_end:bigint>>"
 
 
-def _rendered(render: Template, window: int, learn: str):
+def _rendered(render: Template, learn: str):
     def rows(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in stream:
             yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
@@ -138,7 +109,7 @@ def _rendered(render: Template, window: int, learn: str):
         first = next(stream, None)
         if first is None:
             return
-        schema = pa.schema([("conv_id", first.schema.field(0).type), ("n_turns", pa.int64()), ("formatted", pa.string()), ("rewrites", pa.bool_()), ("spans", _SPANS), ("loss", _SPANS)])
+        schema = pa.schema([("conv_id", first.schema.field(0).type), ("n_turns", pa.int64()), ("formatted", pa.string()), ("rewrites", pa.bool_()), ("spans", _SPANS), ("loss", _SPANS), ("unlocated", pa.int64())])
 
         def all_batches():
             yield first
@@ -147,18 +118,20 @@ def _rendered(render: Template, window: int, learn: str):
         def made() -> Iterator[dict]:
             for conv, group in groupby(rows(all_batches()), key=lambda r: r[0]):
                 turns = [(r[1] or "", r[2] or "") for r in group]
-                whole, spans = locate(turns, render, window)
+                whole, spans = locate(turns, render)
                 listed = [dict(zip(("start", "end", "text_start", "text_end"), s, strict=True)) for s in spans or []]
-                loss = [s for s, (role, _) in zip(listed, turns, strict=False) if role == learn and s["text_start"] >= 0]
-                yield {"conv_id": conv, "n_turns": len(turns), "formatted": whole, "rewrites": spans is None, "spans": listed, "loss": loss}
+                wanted = [s for s, (role, _) in zip(listed, turns, strict=False) if role == learn]
+                loss = [s for s in wanted if s["text_start"] >= 0]
+                yield {"conv_id": conv, "n_turns": len(turns), "formatted": whole, "rewrites": spans is None, "spans": listed, "loss": loss, "unlocated": sum(role == learn for role, _ in turns) - len(loss)}
 
         yield from batches(made(), schema, 64)
 
     return run
 
 
-def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", template: Template = chatml, window: int = WINDOW, learn: str = "assistant") -> DataFrame:
-    """One row per conversation: conv_id, n_turns, formatted, rewrites, spans of all turns and of those to learn (loss).
+def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", template: Template = chatml, learn: str = "assistant") -> DataFrame:
+    """One row per conversation: conv_id, n_turns, formatted, rewrites, spans of all turns and of those to learn (loss),
+    and unlocated: how many texts to learn are in no span, because they were not found or the template rewrites history.
 
     Spans are code point offsets in ``formatted``: of the turn, and of its text as it stands there.
     """
@@ -167,7 +140,7 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
     dealt = read.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "role", "text")
     kind = read.schema["conv_id"].dataType.simpleString()
-    return dealt.mapInArrow(_rendered(template, window, learn), f"conv_id {kind}, n_turns bigint, formatted string, rewrites boolean, spans {_SPANS_SQL}, loss {_SPANS_SQL}")
+    return dealt.mapInArrow(_rendered(template, learn), f"conv_id {kind}, n_turns bigint, formatted string, rewrites boolean, spans {_SPANS_SQL}, loss {_SPANS_SQL}, unlocated bigint")
 
 
 def _read_back(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

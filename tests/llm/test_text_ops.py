@@ -154,9 +154,9 @@ turns = st.lists(st.tuples(st.sampled_from(["user", "assistant", "", "a\\b", "sy
 
 
 @settings(max_examples=150, deadline=None)
-@given(turns, st.sampled_from([1, 3, 16]))
-def test_formatted_chats_round_trip(conversation, window):
-    whole, spans = chat.locate(conversation, window=window)
+@given(turns)
+def test_formatted_chats_round_trip(conversation):
+    whole, spans = chat.locate(conversation)
     assert chat.parse(whole) == conversation and whole.count("<|im_start|>") == len(conversation)
     assert [chat.unescape(whole[s[2] : s[3]]) for s in spans] == [t for _, t in conversation]
     assert "".join(whole[s[0] : s[1]] for s in spans) == whole
@@ -166,10 +166,27 @@ def test_templates_that_rewrite_history_are_found():
     forgetful = lambda ts: f"[{len(ts)}]" + "".join(t for _, t in ts)
     assert chat.locate([("user", "a"), ("assistant", "b")], forgetful)[1] is None
     headed = lambda ts: "<s>" + chat.chatml(ts)
-    whole, spans = chat.locate([("user", str(i)) for i in range(50)], headed, window=4)
+    whole, spans = chat.locate([("user", str(i)) for i in range(50)], headed)
     assert [whole[s[2] : s[3]] for s in spans] == [str(i) for i in range(50)]
 
 
+def test_rewriting_at_one_length_only_is_found(spark):
+    at_35 = lambda ts: "[X]" * (len(ts) == 35) + chat.chatml(ts)
+    assert chat.locate([("user", str(i)) for i in range(34)], at_35)[1] is not None
+    assert chat.locate([("user", str(i)) for i in range(40)], at_35) == (chat.chatml([("user", str(i)) for i in range(40)]), None)
+    rows = [(c, t, "assistant" if t % 2 else "user", f"t{t}") for c, n in ((1, 34), (2, 40)) for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    found = {r.conv_id: (r.rewrites, len(r.loss), r.unlocated) for r in chat.format_chats(df, template=at_35).collect()}
+    assert found == {1: (False, 17, 0), 2: (True, 0, 20)}
+
+
+def test_texts_that_cannot_be_located_are_counted(spark):
+    shouting = lambda ts: "".join(f"{r}: {t.upper() if t != chat.MARKER else '?'}\n" for r, t in ts)
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", None)], "conv_id int, turn int, role string, text string")
+    found = {r.conv_id: (r.rewrites, len(r.spans), len(r.loss), r.unlocated) for r in chat.format_chats(df, template=shouting).collect()}
+    assert found == {1: (False, 2, 0, 1), 2: (False, 1, 0, 0)}
+
+
 def test_chat_table(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "x"), (2, None, "assistant", "late"), (2, 5, "assistant", "first"), (2, 5, "assistant", "first"), (3, 0, "user", "only")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, spans int")

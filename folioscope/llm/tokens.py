@@ -2,16 +2,20 @@
 
 A text of up to ``chunk`` code points is encoded at once. A longer one is encoded in overlapping chunks with offsets, and
 neighbours are spliced at a position of their overlap where both have a token boundary and which the tokenizer cannot
-read across. Such a position stands before a space that follows a character other than white space and precedes one:
-the pre-tokenizer of byte-level BPE starts a new piece there whatever stands on either side, and merges never cross
-pieces. Where an overlap has no such position, it is widened; a text without any is encoded whole. Shorter texts fall apart
-at the same positions, so the count of each distinct piece is looked up in a bounded memory before it is encoded. A
-tokenizer whose pre-tokenizer is not of this kind gets every text whole.
+read across. The pre-tokenizer of byte-level BPE reads runs of letters, of digits, of other characters and of white
+space, each run with at most one space before it, and merges never cross its pieces. So a piece always ends between a
+letter and what is none, between a digit and what is none, and between any other character and white space or a digit
+(a letter may follow an apostrophe in one piece), whatever stands on either side. Only characters whose class is beyond
+doubt count here, and no place inside a special token's string does. Stable places are looked for before anything is encoded: first in the overlap, which is
+doubled until it holds one, then beyond the chunk, which grows to the next one; so every character is encoded at most
+about twice, and a text without any is encoded whole, once. Where the encodings do not agree on a place after all, the
+overlap is doubled as well. Shorter texts fall apart before spaces, so the count of each distinct piece is looked up in a
+bounded memory before it is encoded. A tokenizer whose pre-tokenizer is not of this kind gets every text whole.
 
 Defined results: a null text counts as empty and has no tokens; strings of special tokens inside a text are handled as
 the library does by default; rows are counted each on its own; only the named columns are read.
 
-Scale: one pass without a shuffle; memory is bounded by the longest single text.
+Scale: one pass without a shuffle; time is linear in the text and memory is bounded by the longest single text.
 """
 
 from __future__ import annotations
@@ -34,6 +38,10 @@ REMEMBERED = 400_000
 
 _ODD = re.compile(r" \s|\s |\A | \Z")
 _STABLE = re.compile(r"(?<=\S)(?= \S)")
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_OTHER = r"!-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+#: Places that no piece of the pre-tokenizer spans.
+_BREAK = re.compile(rf"(?<=[{_LETTER}])(?=[0-9 \n\r\t{_OTHER}])|(?<=[0-9])(?=[{_LETTER} \n\r\t{_OTHER}])|(?<=[{_OTHER}])(?=[0-9 \n\r\t])")
 _LOADED: dict[str, object] = {}
 
 
@@ -83,47 +91,65 @@ def counts(texts: list[str], coder, known: dict[str, int]) -> list[int]:
     return [sum(map(known.__getitem__, ps)) for ps in parts]
 
 
-def splice(text: str, first: list[tuple[int, int]], start: int, second: list[tuple[int, int]], end: int) -> int | None:
-    """A common boundary of two encodings of text[:end] and text[start:] that no token can cross, or None.
+def specials(coder) -> list[str]:
+    """The strings of added tokens, which are cut out of a text before anything else."""
+    return [t.content for t in coder.get_added_tokens_decoder().values()]
 
-    The offsets of both lists are positions in the text.
-    """
-    starts = {a for a, _ in second}
-    ends = {b for _, b in first}
-    for m in _STABLE.finditer(text, start + 1, end - 1):
-        if m.start() in starts and m.start() in ends:
-            return m.start()
+
+def stable(text: str, start: int, end: int, special: list[str]) -> Iterator[int]:
+    """Stable places p with start < p < end that no special string spans, in order."""
+    for m in _BREAK.finditer(text, start, end):
+        p = m.start()
+        if start < p < end and not any(text.find(x, max(0, p - len(x) + 1), p + len(x) - 1) >= 0 for x in special):
+            yield p
+
+
+def last_stable(text: str, start: int, end: int, special: list[str]) -> int | None:
+    """The last stable place with start < p < end, looked for in strips from the end."""
+    high, wide = end, 256
+    while high > start:
+        low = max(start, high - wide)
+        found = None
+        for found in stable(text, max(start, low - 1), high, special):
+            pass
+        if found is not None:
+            return found
+        high, wide = low, 2 * wide
     return None
 
 
 def count(text: str, coder, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Number of tokens of a text, as encoding it whole gives."""
-    encode = lambda a, b: [(x + a, y + a) for x, y in coder.encode(text[a:b], add_special_tokens=False).offsets]
     n = len(text)
     if n <= chunk:
         return len(coder.encode(text, add_special_tokens=False).ids)
-    total, left, begin, end = 0, 0, 0, chunk
+    special = specials(coder)
+    encode = lambda a, b: [(x + a, y + a) for x, y in coder.encode(text[a:b], add_special_tokens=False).offsets]
+
+    def closed(begin: int, end: int) -> tuple[int, int | None]:
+        """An end of the chunk at or after ``end`` with the last stable place before it; None where the text ends first."""
+        if end >= n:
+            return n, None
+        at = last_stable(text, begin, end, special)
+        if at is None:
+            at = next(stable(text, max(begin, end - 1), n, special), None)
+            return (n, None) if at is None else (min(n, at + overlap), at)
+        return end, at
+
+    total, left, begin = 0, 0, 0
+    end, at = closed(begin, min(n, chunk))
     now = encode(begin, end)
-    while end < n:
-        wide = overlap
-        while True:
-            start = max(begin, end - wide)
-            stop = min(n, start + chunk + wide)
+    while at is not None:
+        start = max(left, at - overlap)
+        stop, after_at = closed(at, min(n, at + chunk))
+        after = encode(start, stop)
+        while not (any(b == at for _, b in now) and any(a == at for a, _ in after)):
+            if start == left:  # no common boundary although all of the chunk was read again: give up chunks
+                return total + len([1 for a, _ in encode(left, n) if a >= left])
+            start = max(left, start - 2 * (at - start))
             after = encode(start, stop)
-            at = splice(text, now, start, after, end)
-            if at is not None:
-                break
-            if start <= left:  # nothing stable between the last splice and the chunk's end: lengthen the chunk
-                begin, end, wide = left, min(n, end + chunk), overlap
-                now = encode(begin, end)
-                if end == n:
-                    break
-            else:
-                wide *= 2
-        if at is None:
-            break
         total += sum(left <= a and b <= at for a, b in now)
-        left, begin, end, now = at, start, stop, after
+        left, now, at = at, after, after_at
     return total + sum(left <= a for a, _ in now)
 
 

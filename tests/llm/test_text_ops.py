@@ -1,7 +1,10 @@
 """Decontamination, exact dedup, token counts and chat formatting against brute force and round trips."""
 
+import base64
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -138,6 +141,31 @@ def test_texts_without_a_stable_place_are_encoded_whole():
     assert tokens.count(text, coder, 100, 10) == len(coder.encode(text, add_special_tokens=False).ids)
 
 
+def cjk(n, stops):
+    r = random.Random(2)
+    return "".join(chr(r.randrange(0x4E00, 0x9FA5)) + "。" * (stops and r.random() < 0.05) for _ in range(n))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [cjk(1_000_000, True), cjk(420_000, False), base64.b64encode(random.Random(1).randbytes(750_000)).decode(), "\n" * 1_000_000, "ab<|endoftext|>cd" * 40_000, "x's'" * 100_000],
+    ids=["stops", "cjk", "base64", "lines", "special", "apostrophes"],
+)
+def test_long_texts_without_spaces_take_linear_time(text):
+    coder = tokens.tokenizer()
+    began = time.perf_counter()
+    whole = len(coder.encode(text, add_special_tokens=False).ids)
+    took = time.perf_counter() - began
+    assert tokens.count(text, coder) == whole
+    assert time.perf_counter() - began - took < 3 * took + 1
+
+
+def test_stable_places_spare_special_strings():
+    text = "ab<|endoftext|>cd1 x"
+    assert [*tokens.stable(text, 0, len(text), ["<|endoftext|>"])] == [2, 17, 18]
+    assert tokens.last_stable(text, 0, 17, ["<|endoftext|>"]) == 2
+
+
 def test_token_table(spark):
     rows = [(1, "hello world", 3), (2, None, 3), (3, "", 3), (None, "x " * 2000, 3), (1, "hello world", 3)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens int")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import ship, table
 
-__all__ = ["blobs", "crc_fold", "few", "keyed", "labelled_sample", "materialise", "shared_dir", "ship", "table", "utf8_words"]
+__all__ = ["blobs", "crc_fold", "few", "free", "keyed", "labelled_sample", "materialise", "shared_dir", "ship", "table", "utf8_words"]
 
 #: Turns every ASCII byte that is neither a letter nor a digit into a space; bytes of other characters stay.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -32,6 +32,14 @@ def keyed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{v}`").alias(k) for k, v in columns.items()])
 
 
+def free(name: str, taken: list[str]) -> str:
+    """A column name that is not taken: ``name`` with underscores behind it as need be. Spark's names ignore case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def crc_fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -2,22 +2,28 @@
 
 Words are maximal runs of ASCII letters, ASCII digits and non-ASCII characters after A-Z became a-z. A window is
 ``window`` consecutive words of a benchmark text; a shorter text with at least one word is one window. All windows
-become patterns of one automaton, which reads each document once. A hit is mapped back to word numbers and to code
-point offsets of the original text.
+become patterns of one automaton whose letters are whole words: each word of the benchmark has a character of its own,
+any other word one that no pattern has. So the automaton reads each document once, a step a word, and an occurrence's
+place is its word number, which is mapped back to code point offsets of the original text.
 
 Defined results: a null or wordless text has no words, no hits and is clean; a null or wordless benchmark text adds
 no window; a benchmark row whose id is null marks words but is not listed; repeated rows are judged each on its own;
-an empty benchmark leaves every document clean; columns besides those named are passed on untouched.
-
-Scale: documents are read in one pass without a shuffle. The benchmark's size is measured first. Up to
-``block_bytes`` of text make one automaton; a larger benchmark is dealt into blocks, each an automaton of bounded
-size that adds its hits to those found before, so nothing unbounded is collected or broadcast.
+an empty benchmark leaves every document clean; columns besides those named are passed on untouched. Where docs have a
+column ``name`` already, mark() puts underscores behind the new one's name until it is free.
+
+Scale: documents are read in one pass without a shuffle. The benchmark's size is measured first; it is cut into
+overlapping stretches of at most ``STRETCH`` windows, so that long items can be dealt like short ones. Up to
+``block_bytes`` of words, an automaton of some 300 MB, make the one automaton. Beyond that there is an automaton for
+each block, and one block at a time is collected, broadcast, used and destroyed: documents are written once with a row
+number, each block reads them and writes its hits, and the hits, merged by row, are joined to the documents at the end.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -25,49 +31,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import blobs, keyed, ship, table, utf8_words
+from folioscope.llm.common import blobs, free, keyed, materialise, ship, table, utf8_words
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20
+#: Words' bytes of one automaton: fewer than a million words, so each can have a character of its own.
+BLOCK_BYTES = 2 << 20
+#: Windows of one stretch of a long item.
+STRETCH = 4096
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _FOUND = pa.struct([("n_words", pa.int64()), ("runs", _RUNS), ("items", pa.list_(pa.string())), ("spans", _SPANS)])
 _FOUND_SQL = "struct<n_words:bigint,runs:array<struct<first:int,last:int>>,items:array<string>,spans:array<struct<start:int,end:int>>>"
+_STRANGE = "\x00"
+
+
+def _letters() -> Iterator[str]:
+    """Characters for words: all but zero and the surrogates."""
+    yield from map(chr, range(1, 0xD800))
+    yield from map(chr, range(0xE000, 0x110000))
 
-_BUILT: dict[int, ahocorasick.Automaton] = {}
 
+@dataclass
+class Matcher:
+    """An automaton over words, and the character of each word of the benchmark."""
 
-def windows(text: bytes | None, window: int = WINDOW) -> set[str]:
-    """The windows of a benchmark text, each between spaces, as latin-1 text of its UTF-8 bytes."""
-    words = utf8_words(text)
-    return {f" {b' '.join(words[i : i + window]).decode('latin-1')} " for i in range(max(1, len(words) - window + 1))} if words else set()
+    letters: dict[bytes, str]
+    built: ahocorasick.Automaton
 
 
-def automaton(items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> ahocorasick.Automaton:
+def automaton(items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> Matcher:
     """The automaton of a list of (item id, text); a pattern's value is (number of words, item ids)."""
     owners: dict[str, set[str]] = {}
+    letters: dict[bytes, str] = {}
+    fresh = _letters()
     for item, text in items:
-        for w in windows(text, window):
-            owners.setdefault(w, set()).update([] if item is None else [item])
+        words = utf8_words(text)
+        for w in words:
+            if w not in letters:
+                letters[w] = next(fresh)
+        whole = "".join(map(letters.__getitem__, words))
+        for i in range(max(1, len(whole) - window + 1) if whole else 0):
+            owners.setdefault(whole[i : i + window], set()).update([] if item is None else [item])
     built = ahocorasick.Automaton()
     for w, ids in owners.items():
-        built.add_word(w, (w.count(" ") - 1, tuple(sorted(ids))))
+        built.add_word(w, (len(w), tuple(sorted(ids))))
     if owners:
         built.make_automaton()
-    return built
+    return Matcher(letters, built)
 
 
-def find(words: list[bytes], built: ahocorasick.Automaton) -> tuple[np.ndarray, set[str]]:
+def find(words: list[bytes], matcher: Matcher) -> tuple[np.ndarray, set[str]]:
     """Numbers of the words inside occurrences of windows, and the items that own these windows."""
     hit, items = np.zeros(len(words), bool), set()
-    if words and len(built):
-        ends = None
-        for end, (n, ids) in built.iter(f" {b' '.join(words).decode('latin-1')} "):
-            if ends is None:
-                ends = np.cumsum([len(w) + 1 for w in words])
-            last = int(np.searchsorted(ends, end))
+    if words and len(matcher.built):
+        letter = matcher.letters.get
+        for last, (n, ids) in matcher.built.iter("".join([letter(w, _STRANGE) for w in words])):
             hit[last - n + 1 : last + 1] = True
             items.update(ids)
     return np.flatnonzero(hit), items
@@ -94,39 +114,85 @@ def _spans(text: bytes, runs: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _scan(items, window: int, text_at: int, keep: list[int], last_block: bool):
-    """An Arrow function that adds a block's hits to the column of those found before, which stands last."""
+_BUILT: dict[int, Matcher] = {}
+
+
+def _matcher(items, window: int) -> Matcher:
+    """The automaton of a broadcast list, made once per process; an earlier one goes."""
+    listed = items.value
+    key = hash((window, tuple(listed)))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = automaton(listed, window)
+    return _BUILT[key]
+
+
+def _scan(items, window: int, text_at: int, keep: int):
+    """An Arrow function that passes the first ``keep`` columns on and adds what the one automaton found."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = items.value
-        key = hash((window, tuple(listed)))
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = automaton(listed, window)
-        built = _BUILT[key]
+        matcher = _matcher(items, window)
         for batch in stream:
             found = []
-            for text, before in zip(blobs(batch.column(text_at)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for text in blobs(batch.column(text_at)):
                 words = utf8_words(text)
-                numbers, ids = find(words, built)
-                if before is not None:
-                    old = [np.arange(r["first"], r["last"] + 1) for r in before["runs"]]
-                    numbers, ids = np.unique(np.concatenate([numbers, *old]).astype(np.int64)), ids | set(before["items"])
+                numbers, ids = find(words, matcher)
                 runs = _runs(numbers)
-                found.append({"n_words": len(words), "runs": [{"first": a, "last": b} for a, b in runs], "items": sorted(ids), "spans": _spans(text, runs) if last_block and runs else []})
-            columns = [batch.column(i) for i in keep] + [pa.array(found, _FOUND)]
+                found.append({"n_words": len(words), "runs": [{"first": a, "last": b} for a, b in runs], "items": sorted(ids), "spans": _spans(text, runs) if runs else []})
+            columns = [*batch.columns[:keep], pa.array(found, _FOUND)]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
     return run
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes | None]]]:
-    """Benchmark rows (item, text) in lists of bounded size; one list where all fit."""
-    size, n = benchmark.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0)), F.count(F.lit(1))).first()
-    count = -(-size // block_bytes) or 1
-    for b in range(count):
-        part = benchmark if count == 1 else benchmark.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == b)
-        yield [(r.item, r.text) for r in part.select("item", F.col("text").cast("binary").alias("text")).distinct().collect()]
+_HITS = pa.list_(pa.struct([(k, pa.int32()) for k in ("first", "last", "start", "end")]))
+_HITS_SQL = "hits array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
+
+
+def _hits(items, window: int):
+    """An Arrow function from (row number, text) to the hits of one block; rows without any are left out."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(items, window)
+        for batch in stream:
+            rows, hits, owners = [], [], []
+            for i, text in enumerate(blobs(batch.column(1))):
+                numbers, ids = find(utf8_words(text), matcher)
+                if len(numbers):
+                    runs = _runs(numbers)
+                    rows.append(i)
+                    hits.append([{"first": a, "last": b, **s} for (a, b), s in zip(runs, _spans(text, runs), strict=True)])
+                    owners.append(sorted(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(hits, _HITS), pa.array(owners, pa.list_(pa.string()))], names=["at", "hits", "items"])
+
+    return run
+
+
+def _merged(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hits of all blocks in one document, of rows (row number, lists of hits, lists of items)."""
+    for batch in stream:
+        found = []
+        for lists, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            runs: list[dict] = []
+            for h in sorted((h for hits in lists for h in hits), key=lambda h: h["first"]):
+                if runs and h["first"] <= runs[-1]["last"] + 1:
+                    runs[-1] |= {"last": max(runs[-1]["last"], h["last"]), "end": max(runs[-1]["end"], h["end"])}
+                else:
+                    runs.append(dict(h))
+            found.append({"n_words": 0, "runs": [{k: r[k] for k in ("first", "last")} for r in runs], "items": sorted({x for ids in items for x in ids}), "spans": [{k: r[k] for k in ("start", "end")} for r in runs]})
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _FOUND)], names=["at", "found"])
+
+
+_ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_NO_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+
+
+def stretches(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The benchmark's (item, text) as stretches (item, words) of at most STRETCH windows each; wordless texts have none."""
+    words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), _ABC, _ABC.lower()), F.lit(f"[^{_NO_WORD}]+"), F.lit(0))
+    starts = F.expr(f"sequence(0, cast((greatest(size(w) - {window}, 0)) div {STRETCH} as int))")
+    cut = benchmark.select("item", words.alias("w")).where("size(w) > 0").withColumn("at", F.explode(starts))
+    return cut.select("item", F.array_join(F.slice("w", F.col("at") * STRETCH + 1, F.lit(STRETCH + window - 1)), " ").alias("words")).distinct()
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, name: str = "contamination", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -137,16 +203,30 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     """
     spark = ship(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    listed = list(blocks(keyed(benchmark, item=item_id, text=item_text).withColumn("item", F.col("item").cast("string")), block_bytes))
+    name = free(name, keep)
+    listed = stretches(keyed(benchmark, item=item_id, text=item_text).withColumn("item", F.col("item").cast("string")), window)
+    size = listed.agg(F.coalesce(F.sum(F.octet_length("words") + 1), F.lit(0))).first()[0]
+    blocks = -(-size // block_bytes) or 1
+    sent = lambda part: spark.sparkContext.broadcast([(r.item, bytes(r.words)) for r in part.select("item", F.col("words").cast("binary").alias("words")).collect()])
     chosen = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
     names, kinds = chosen.columns, [f.dataType.simpleString() for f in chosen.schema]
-    out = chosen.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("found", F.lit(None).cast(_FOUND_SQL))
-    for b, items in enumerate(listed):
-        last = b == len(listed) - 1
-        kept = [names.index(c) for c in keep] if last else list(range(len(names)))
-        schema = ",".join([*(f"c{i} {kinds[k]}" for i, k in enumerate(kept)), f"c{len(kept)} {_FOUND_SQL}"])
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(items), window, names.index(text), kept, last), schema)
-    return out.toDF(*keep, name)
+    plain, text_at = chosen.toDF(*[f"c{i}" for i in range(len(names))]), names.index(text)
+    if blocks == 1:
+        schema = ",".join([*(f"c{i} {kinds[i]}" for i in range(len(keep))), f"c{len(keep)} {_FOUND_SQL}"])
+        return plain.mapInArrow(_scan(sent(listed), window, text_at, len(keep)), schema).toDF(*keep, name)
+    listed = materialise(listed.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks))), "benchmark")
+    counted = F.regexp_count(F.coalesce(F.col(f"c{text_at}"), F.lit("")), F.lit(f"[^{_NO_WORD}]+")).cast("bigint")
+    held = materialise(plain.withColumn("at", F.monotonically_increasing_id()).withColumn("words", counted), "numbered")
+    parts = []
+    for b in range(blocks):
+        items = sent(listed.where(F.col("block") == b))
+        parts.append(materialise(held.select("at", f"c{text_at}").mapInArrow(_hits(items, window), f"at bigint, {_HITS_SQL}"), "hits"))
+        items.destroy()
+    hits = reduce(DataFrame.unionByName, parts).groupBy("at").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
+    whole = held.select("at", "words", *[f"c{i}" for i in range(len(keep))]).join(materialise(hits.mapInArrow(_merged, f"at bigint, found {_FOUND_SQL}"), "hits"), "at", "left")
+    none = lambda k, kind: F.coalesce(F.col(f"found.{k}"), F.array().cast(kind)).alias(k)
+    found = F.struct(F.col("words").alias("n_words"), none("runs", "array<struct<first:int,last:int>>"), none("items", "array<string>"), none("spans", "array<struct<start:int,end:int>>"))
+    return whole.select(*[f"c{i}" for i in range(len(keep))], found.alias("found")).toDF(*keep, name)
 
 
 def verdict(found: str = "contamination") -> dict:
@@ -163,9 +243,7 @@ def verdict(found: str = "contamination") -> dict:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that are not contaminated, with their columns."""
-    name = "contamination"
-    while name in docs.columns:
-        name += "_"
+    name = free("contamination", docs.columns)
     return mark(docs, benchmark, name=name, **options).where(~verdict(name)["contaminated"]).drop(name)
 
 

@@ -70,6 +70,30 @@ def test_marks_agree_with_brute_force(tables, block_bytes):
         assert [w for s in r.spans for w in words(r.text[s.start : s.end])] == [words(r.text)[i] for i in sorted(hit)]
 
 
+def test_blocks_are_handled_one_at_a_time(spark, tables, monkeypatch):
+    docs, items = tables
+    live, most, sizes = [], [], []
+    real = type(spark.sparkContext).broadcast
+
+    def broadcast(context, value):
+        made = real(context, value)
+        sizes.append(sum(len(t) + 1 for _, t in value))
+        live.append(1)
+        most.append(len(live))
+        gone = made.destroy
+        made.destroy = lambda *a: (live.pop(), gone(*a))
+        return made
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    monkeypatch.setattr(decontaminate, "STRETCH", 4)
+    found = decontaminate.mark(docs, items, block_bytes=150, name="found")
+    assert found.columns == [*docs.columns, "found_"] and len(sizes) > 3 and max(most) == 1 and not live and max(sizes) < 600
+    for r in found.collect():
+        n, hit, ids = brute(r.text, ITEMS)
+        assert r.found_.n_words == n and set(r.found_["items"]) == ids
+        assert [x for a, b in r.found_.runs for x in range(a, b + 1)] == sorted(hit)
+
+
 def test_decontaminated_documents_keep_their_columns(spark, tables):
     docs, items = tables
     left = decontaminate.decontaminate(docs, items)

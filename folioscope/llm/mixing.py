@@ -9,12 +9,16 @@ in every stretch of the order.
 Defined results: a null text has size 0; a null source is a source of its own and comes last; sources are ordered by
 code point and weigh ``weights`` in turn; a source of size 0 has target 0 and none of its documents is taken; an
 empty table gives an empty result; repeated rows are sampled each on its own, and rows that differ in any column keep
-one order. Only the named columns are read.
-
-Scale: the order is a prefix sum in two levels. Documents fall into cells (source, size class, hash); cells are counted
-with partial aggregation, summed within a class and over the classes of a source (both bounded by constants: 4,096
-hash values, about 130 classes per doubling of size), and only the rank inside a cell needs documents of one key
-together. A source or a text that holds a third of all rows is spread over 4,096 hash values.
+one order. Only the named columns decide; mix() passes all columns on.
+
+Scale: the order is a prefix sum in levels. Documents fall into cells (source, size class, hash); cells are counted
+with partial aggregation, summed within the 16 stripes of a class, over the stripes and over the classes of a source (all bounded by constants: 256
+hash values a stripe, about 130 classes per doubling of size). Inside a cell rows that agree in every column are one entry with a
+count, made with partial aggregation, and only entries are ranked. So neither a source nor a text nor one row that holds a
+third of all rows gathers in a task; an entry's rows are spread again in stretches of ``STRETCH``. Sources are numbered by
+ranges of their names, and their level is found over the distinct pairs of size and weight, which are at most
+3 sqrt(2 w) for w words in all. Everything is worked out on slim rows; mix() then joins the copies to the whole rows by
+128 bits of hash, the one time that texts are shuffled.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
 CAP = 2.0
 SEED = 20_240_917
+#: Equal rows, or copies of one row, that one task gives out in one go.
+STRETCH = 10_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,26 +56,31 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     No target exceeds ``cap`` times its source's size. Sharing the excess again and again ends at one level: with
     sources ordered by cap / weight, the first whose share at the level fits under its cap fixes it.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    by_ratio = Window.orderBy("ratio", "rank")
+    by_name = [F.col("source").isNull(), F.col("source")]
+    ranged = materialise(sizes.repartitionByRange(*by_name).withColumn("range", F.spark_partition_id()), "sources")
+    ranges = ranged.groupBy("range").count().withColumn("start", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.col("start") + F.row_number().over(Window.partitionBy("range").orderBy(*by_name)) - 1
     listed = (
-        sizes.withColumn("rank", F.row_number().over(by_name))
-        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
+        ranged.join(ranges.select("range", "start"), "range")
+        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")))
         .withColumn("most", F.lit(cap) * F.col("source_size"))
         .withColumn("ratio", F.col("most") / F.col("weight"))
-        .withColumn("position", F.row_number().over(by_ratio))
-        .withColumn("before", F.coalesce(F.sum("most").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("budget", F.lit(budget) * F.sum("source_size").over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("budget") - F.col("before")) / F.col("open"))
+        .select("source", "source_size", "weight", "most", "ratio")
     )
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct("position", "level"))
-    first = F.min(fits).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return listed.withColumn("first", first).select(
-        "source",
-        "source_size",
-        F.when(F.col("position") < F.col("first.position"), F.col("most")).otherwise(F.col("first.level") * F.col("weight")).alias("target"),
+    by_ratio = Window.orderBy("ratio", "weight")
+    level = (
+        listed.groupBy("ratio", "weight", "most")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("source_size").alias("words"))
+        .withColumn("before", F.coalesce(F.sum(F.col("most") * F.col("n")).over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+        .withColumn("open", F.sum(F.col("weight") * F.col("n")).over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("budget", F.lit(budget) * F.sum("words").over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        .withColumn("level", (F.col("budget") - F.col("before")) / F.col("open"))
+        .where("level * weight <= most")
+        .agg(F.min(F.struct("ratio", "weight", "level")).alias("first"))
+        .first()["first"]
     )
+    aim = F.col("most") if level is None else F.when(F.col("ratio") < F.lit(level.ratio), F.col("most")).otherwise(F.lit(level.level) * F.col("weight"))
+    return listed.select("source", "source_size", aim.alias("target"))
 
 
 def placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -84,33 +95,68 @@ def classed(size: str) -> Column:
     return F.expr(f"{size} - {size} % shiftleft(1L, greatest(length(bin({size})) - 8, 0))")
 
 
-def sampled(order: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """Adds source_size, target and copies to rows that placed() made."""
-    cells = order.groupBy("source", "class", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    sized = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
-    aimed = targets(sized, weights, budget, cap)
-    within = Window.partitionBy("source", "class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+def entries(order: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
+    """Rows that placed() made, equal ones as one with their count n; with start (rows before it), rate and its source's target."""
+    cells = materialise(order.groupBy("source", "class", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "cells")
+    aimed = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, cap)
+    cells = cells.withColumn("stripe", F.substring("cell", 1, 1))
+    stripes = cells.groupBy("source", "class", "stripe").agg(F.sum("n").alias("n"))
+    among = Window.partitionBy("source", "class").orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)
+    stripes = stripes.select("source", "class", "stripe", F.coalesce(F.sum("n").over(among), F.lit(0)).alias("stripes_before"))
+    within = Window.partitionBy("source", "class", "stripe").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n")).select("source", "class", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("classes_before"))
     same = lambda a, b, *more: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.lit(True) if not more else F.expr(" and ".join(f"{a}.{c} = {b}.{c}" for c in more)))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     starts = (
         cells.withColumn("cells_before", F.coalesce(F.sum("n").over(within), F.lit(0)))
         .alias("c")
+        .join(stripes.alias("p"), same("c", "p", "class", "stripe"))
         .join(classes.alias("k"), same("c", "k", "class"))
         .join(aimed.alias("t"), same("c", "t"))
-        .select("c.source", "c.class", "c.cell", (F.col("cells_before") + F.col("classes_before")).alias("start"), "source_size", "target")
+        .select("c.source", "c.class", "c.cell", (F.col("cells_before") + F.col("stripes_before") + F.col("classes_before")).alias("cell_start"), "source_size", "target", rate.alias("rate"))
     )
-    rank = Window.partitionBy("o.source", "o.class", "o.cell").orderBy("o.size", "o.tie", F.xxhash64("o.row"))
-    ranked = order.alias("o").join(starts.alias("s"), same("o", "s", "class", "cell")).withColumn("place", F.col("start") + F.row_number().over(rank))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    crossed = F.floor(F.col("place") * rate + F.lit(offset(seed))) - F.floor((F.col("place") - 1) * rate + F.lit(offset(seed)))
-    return ranked.select("o.row", "o.source", "o.size", "source_size", "target", crossed.cast("bigint").alias("copies"))
+    grouped = order.groupBy("source", "class", "cell", "size", "tie", F.xxhash64("row").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"))
+    before = F.sum("n").over(Window.partitionBy("o.source", "o.class", "o.cell").orderBy("size", "tie", "key").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = grouped.alias("o").join(starts.alias("s"), same("o", "s", "class", "cell"))
+    return ranked.select("row", "o.source", "size", "source_size", "target", "rate", "n", (F.col("cell_start") + F.coalesce(before, F.lit(0))).alias("start"))
+
+
+def crossed(first: Column, last: Column, seed: int) -> Column:
+    """The number of boundaries that the documents at places first + 1 to last cross, at ``rate`` each."""
+    return (F.floor(last * F.col("rate") + F.lit(offset(seed))) - F.floor(first * F.col("rate") + F.lit(offset(seed)))).cast("bigint")
+
+
+def spread(df: DataFrame, times: str, number: str) -> DataFrame:
+    """Each row as often as ``times`` says, with the number of the repeat from 0; many repeats go to many tasks."""
+    parts = df.withColumn("_part", F.explode(F.expr(f"sequence(0L, ({times} - 1) div {STRETCH})")))
+    dealt = parts.repartition(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()))
+    return dealt.withColumn(number, F.explode(F.expr(f"sequence(_part * {STRETCH}, least({times}, (_part + 1) * {STRETCH}) - 1)"))).drop("_part")
+
+
+def sampled(order: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """The rows that placed() made, which should be slim, with source_size, target and copies."""
+    listed = materialise(entries(order, weights, budget, cap), "entries")
+    columns = lambda df: df.select("row", "source", "size", "source_size", "target", crossed(F.col("start"), F.col("start") + 1, seed).alias("copies"))
+    single, several = listed.where("n = 1"), listed.where("n > 1")
+    if several.isEmpty():
+        return columns(single)
+    return columns(single).unionByName(columns(spread(several, "n", "i").withColumn("start", F.col("start") + F.col("i"))))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with its columns."""
-    taken = sampled(placed(docs, doc_id, text, source), **options)
-    return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")
+    key = lambda prefix: [F.xxhash64(F.lit(k), *[F.col(f"{prefix}`{c}`") for c in docs.columns]).alias(f"k{k}") for k in (0, 1)]
+    slim = materialise(placed(docs, doc_id, text, source).withColumn("row", F.struct(*key("row."))), "mixing")
+    taken = entries(slim, weights, budget, cap).select("row.k0", "row.k1", "n", crossed(F.col("start"), F.col("start") + F.col("n"), seed).alias("copies"))
+    taken = materialise(taken.where("copies > 0"), "taken")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key(""))
+    single = rows.join(taken.where("n = 1"), ["k0", "k1"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")
+    if taken.where("n > 1").isEmpty():
+        return single
+    salted = rows.join(taken.where("n > 1"), ["k0", "k1"]).groupBy("k0", "k1", "copies", F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("salt"))
+    one = salted.agg(F.first("row").alias("row")).groupBy("k0", "k1", "copies").agg(F.first("row").alias("row"))
+    return single.unionByName(spread(one, "copies", "copy").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,35 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_spreads_equal_rows_and_takes_huge_texts(spark):
+    same = spark.range(100_000).selectExpr("cast(null as bigint) as doc_id", "'' as text", "'a' as source", "1 as lang")
+    more = spark.range(300).selectExpr("id as doc_id", "'w v' as text", "'a' as source", "cast(id % 2 as int) as lang")
+    again = spark.range(5000).selectExpr("7L as doc_id", "'x y z' as text", "'b' as source", "1 as lang")
+    huge = spark.createDataFrame([(8, "w " * 300_000, "c", 1), (8, None, "d", None), (8, None, "d", 2)], "doc_id bigint, text string, source string, lang int")
+    docs = same.unionAll(more).unionAll(again).unionAll(huge).repartition(6)
+    order = mixing.materialise(mixing.placed(docs), "test")
+    entries = mixing.entries(order).collect()
+    assert max(e.n for e in entries) == 100_000 and len(entries) == 1 + 300 + 1 + 3
+    found = mixing.sampled(order).groupBy("row", "source", "target", "size").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"), F.max("copies").alias("most")).collect()
+    assert sum(r.n for r in found) == docs.count() and all(r.most <= 2 for r in found)
+    b = next(r for r in found if r.source == "b")
+    assert b.n == 5000 and abs(b.copies * 3 - b.target) <= 6
+    out = mixing.mix(docs)
+    counts = {tuple(r)[:4]: r["count"] for r in out.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.md5(F.coalesce("text", F.lit("-")).cast("binary")).alias("text"), "source", "lang").count().collect()}
+    assert sum(counts.values()) == sum(r.copies for r in found)
+    assert out.columns == docs.columns
+
+
+def test_targets_of_many_sources(spark):
+    r = random.Random(8)
+    sizes = {f"s{i:04d}É"[: r.choice([5, 6])] if i else None: r.choice([0, 1, 7, 7, 300, 5000, 10**9]) for i in range(3000)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint").repartition(5)
+    order = sorted(s for s in sizes if s is not None) + [None]
+    aim = shared(1.5 * sum(sizes.values()), sizes, {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(order)})
+    found = {x.source: x.target for x in mixing.targets(df).collect()}
+    assert found.keys() == sizes.keys() and all(math.isclose(found[s], aim[s], rel_tol=1e-9, abs_tol=1e-9) for s in sizes)
+
+
 def brute_classes(texts):
     """Class number of each text by comparing all pairs."""
     known, parts = {}, [utf8_words(t.encode()) if t else [] for t in texts]

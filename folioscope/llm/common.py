@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import ship, table
 
-__all__ = ["blobs", "crc_fold", "few", "free", "keyed", "labelled_sample", "materialise", "shared_dir", "ship", "table", "utf8_words"]
+__all__ = ["blobs", "crc_fold", "discard", "few", "free", "keyed", "labelled_sample", "materialise", "shared_dir", "ship", "table", "utf8_words"]
 
 #: Turns every ASCII byte that is neither a letter nor a digit into a space; bytes of other characters stay.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -50,30 +50,60 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: Column, rows:
     """Rows of docs (doc_id, text, ...) for a bounded sample of labels (doc_id, label), and all labels' counts by class.
 
     Of each class the ``rows`` labels with the smallest hash of the id are taken among those that are not held out, so at
-    most twice as many ids are broadcast to find their texts; texts of more than ``chars`` code points are left out.
+    most twice as many ids are broadcast to find their texts; texts of more than ``chars`` code points are left out. Of
+    documents or labels that repeat an id, one counts: the row of the least hash. So at most 2 x ``rows`` rows come back.
     """
-    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).select("doc_id", F.col("label").cast("int").alias("label"))
+    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     shares = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     by_hash = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
     picked = known.where("label = 0").orderBy(*by_hash).limit(rows).unionAll(known.where("label = 1").orderBy(*by_hash).limit(rows))
-    return docs.join(F.broadcast(picked), "doc_id").where(F.length(F.coalesce("text", F.lit(""))) <= chars), shares
+    rest = [c for c in docs.columns if c != "doc_id"]
+    found = docs.join(F.broadcast(picked), "doc_id").where(F.length(F.coalesce("text", F.lit(""))) <= chars)
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64(*rest).alias("h"), *rest)).alias("r"))
+    return one.select("doc_id", "label", *[F.col(f"r.{c}") for c in rest]), shares
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent, as in tests on one machine, a folder of the warehouse serves.
+    Where the setting is absent a folder of the warehouse serves, but only for a local master, whose driver and executors
+    are one process; on a cluster that is an error, since the warehouse's default is a folder of the driver's machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and no executor's loss undoes it."""
+    """Write a table to the shared folder and read it back: lineage ends there and no executor's loss undoes it.
+
+    The table is deleted when the application ends, or before that by discard().
+    """
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _folder(spark, path)
+    files.deleteOnExit(at)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.__dict__["_written"] = path
+    return made
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that materialise() wrote and that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = None if df is None else df.__dict__.pop("_written", None)
+        if path is not None:
+            files, at = _folder(df.sparkSession, path)
+            files.delete(at, True)
 
 
 def few(df: DataFrame, rows: int, a_task: int) -> DataFrame:

@@ -1,8 +1,9 @@
 """Quality: regularised quadratic discriminant analysis over transformed statistics of whole documents.
 
 Each class has a mean and a covariance that is shrunk towards the pooled covariance and towards a multiple of the
-identity. Its Cholesky factor is computed once. The score is the logistic function of the difference of both log
-densities, from Mahalanobis distances, after a scale and shift that are fitted on the sample because quadratic
+identity. Its Cholesky factor L is computed once and kept as the inverse of L, a triangle of 22 x 22 numbers, so that a
+Mahalanobis distance is one product for a whole batch; the ridge bounds its condition. The score is the logistic function
+of the difference of both log densities, after a scale and shift that are fitted on the sample because quadratic
 discriminants are overconfident.
 
 The model is fitted on a bounded sample of labelled rows: up to ``sample_rows`` of each class, those with the smallest
@@ -11,7 +12,9 @@ Rows of the held-out fold are never used. Scores depend on the text alone.
 
 Defined results: a null text counts as empty; an empty text has the statistics of a text of no words, and is scored like
 any other; rows whose label is null teach nothing; without two rows of either class every score is the share of label 1
-(1 without labels); repeated rows are scored each on its own; only the named columns are read.
+(1 without labels); repeated rows are scored each on its own, and one row of an id teaches; very long texts are measured
+whole, in memory linear in the text. score() and accepted() pass other columns on; where ``keep`` has a column ``name``
+already, score() puts underscores behind the new one's name until it is free.
 
 Scale: scoring is one pass without a shuffle; the model is a few kilobytes.
 """
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import blobs, crc_fold, keyed, labelled_sample, ship, table
+from folioscope.llm.common import blobs, crc_fold, free, keyed, labelled_sample, ship, table
 
 FOLDS, HELD = 4, 2
 SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 200_000
@@ -107,7 +110,7 @@ class Model:
         if self.means is None:
             return np.full(len(texts), self.rate)
         d = self.difference(np.array([statistics(t) for t in texts]).reshape(len(texts), len(STATISTICS)))
-        return 1 / (1 + np.exp(-np.clip(self.scaled * np.cbrt(d) + self.shifted, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.scaled * d + self.shifted, -30, 30)))
 
 
 def train(x: np.ndarray, y: np.ndarray, w: np.ndarray, shrink: float = SHRINK, ridge: float = RIDGE) -> Model:
@@ -126,15 +129,16 @@ def train(x: np.ndarray, y: np.ndarray, w: np.ndarray, shrink: float = SHRINK, r
         c = (1 - ridge) * c + ridge * np.trace(c) / len(c) * np.eye(len(c))
         factors.append(np.linalg.inv(np.linalg.cholesky(c)))
     model.factors = np.array(factors)
-    d = np.cbrt(model.difference(x))
-    a, b, w = 1.0, 0.0, w / w.sum()
+    d = model.difference(x)
+    unit = float(np.abs(d).mean()) + 1e-9
+    d, a, b, w = d / unit, 1.0, 0.0, w / w.sum()
     for _ in range(50):  # Newton steps of a weighted logistic regression on the difference
         p = 1 / (1 + np.exp(-np.clip(a * d + b, -30, 30)))
         h = w * p * (1 - p) + 1e-12
         g = np.array([(w * (p - y) * d).sum() + 1e-4 * a, (w * (p - y)).sum()])
         step = np.linalg.solve(np.array([[(h * d * d).sum() + 1e-4, (h * d).sum()], [(h * d).sum(), h.sum() + 1e-9]]), g)
         a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
-    model.scaled, model.shifted = float(a), float(b)
+    model.scaled, model.shifted = float(a / unit), float(b)
     return model
 
 
@@ -166,6 +170,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     """The columns ``keep`` of docs (all by default) and the score of each text."""
     spark = ship(docs.sparkSession)
     keep = docs.columns if keep is None else keep
+    name = free(name, keep)
     names = list(dict.fromkeys([*keep, text]))
     read = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*[f"c{i}" for i in range(len(names))])
     kinds = [f"c{i} {read.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(keep))]
@@ -174,9 +179,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
     """The rows of docs that score at least ``cut``, with their columns."""
-    name = "score"
-    while name in docs.columns:
-        name += "_"
+    name = free("score", docs.columns)
     return score(docs, model, text, name=name).where(F.col(name) >= cut).drop(name)
 
 

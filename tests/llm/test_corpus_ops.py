@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import types
 import zlib
 
 import duckdb
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioscope.llm import decontaminate, mixing, neardup, quality, registry, sharding, toxicity, warc
+from folioscope.llm import common, decontaminate, mixing, neardup, quality, registry, sharding, toxicity, warc
 from folioscope.llm.common import utf8_words
 from folioscope.session import table
 
@@ -68,7 +69,7 @@ def test_classifiers_meet_odd_tables(spark, module):
     labels = spark.createDataFrame([(i, [0, 1, None][i % 3]) for i in range(40)] + [(None, 1), (3, 0)], "doc_id bigint, label int")
     for known in (labels, labels.where("label = 1"), labels.limit(0)):
         model = module.fit(docs, known, label="label")
-        found = module.score(docs, model, name="made").select("made") if module is quality else module.score(docs, model).select("score")
+        found = module.score(docs, model).select("score_" if module is quality else "score")
         assert found.count() == 40 and all(0 <= r[0] <= 1 for r in found.collect())
     assert module.score(docs.limit(0), model).count() == 0
     if module is quality:
@@ -83,6 +84,79 @@ def test_scores_depend_on_text_alone():
     assert abs(score([b"an idiot"])[0] - s[0]) < 1e-6
 
 
+def plain_convolution(model, text):
+    """The score of one text, a word and a filter at a time."""
+    words = utf8_words(text) or [None]
+    pad = [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - 1)
+    vectors = [sum(model.table[b].astype(float) for b in toxicity.buckets(w)) if w is not None else pad[0] for w in words] + pad
+    logit, at = model.bias, 0
+    for width in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            best = max(sum(float(vectors[i + k] @ model.filters[width][k][:, f]) for k in range(width)) for i in range(len(words)))
+            logit += max(0.0, best + float(model.shift[at])) * float(model.out[at])
+            at += 1
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_toxicity_scores_agree_with_plain_convolution():
+    r = random.Random(2)
+    vocabulary = ["you", "idiot", "idiotic", "stupidity", "fine", "day", "é", "wonderful", "日本語"]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(1, 30))).encode() for _ in range(80)]
+    labels = np.array([float(b"idiot" in t or b"stupid" in t) for t in texts])
+    model = toxicity.train(texts, labels, np.ones(80))
+    odd = [None, b"", b"idiot", b"!!!", ("fine day " * 200_000 + "stupidity").encode()]
+    got = toxicity.Scorer(model).score(texts + odd)
+    assert np.allclose(got[:-1], [plain_convolution(model, t) for t in texts + odd[:-1]], atol=1e-4)
+    assert abs(got[-1] - plain_convolution(model, b"fine day fine day fine day stupidity")) < 1e-4
+
+
+def test_quality_scores_agree_with_plain_densities():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, len(quality.STATISTICS))) @ r.normal(size=(len(quality.STATISTICS),) * 2)
+    y = (x[:, 0] ** 2 > np.median(x[:, 0] ** 2)).astype(float)
+    model = quality.train(x, y, np.ones(400), 0.3, 0.05)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    covariances = [np.cov(z[y == c].T) for c in (0, 1)]
+    logs = []
+    for c in (0, 1):
+        s = 0.7 * covariances[c] + 0.3 * (covariances[0] + covariances[1]) / 2
+        s = 0.95 * s + 0.05 * np.trace(s) / len(s) * np.eye(len(s))
+        off = z - z[y == c].mean(0)
+        logs.append(-0.5 * (off * np.linalg.solve(s, off.T).T).sum(1) - 0.5 * np.linalg.slogdet(s)[1])
+    assert np.allclose(model.difference(x), logs[1] - logs[0], rtol=1e-8, atol=1e-8)
+    texts = [b"a fine text. " * 9, b"", None, b"<<>>{}{}" * 7, b"long words " * 300_000]
+    d = model.difference(np.array([quality.statistics(t) for t in texts]))
+    assert np.allclose(model.score(texts), 1 / (1 + np.exp(-np.clip(model.scaled * d + model.shifted, -30, 30))))
+    assert model.score([None])[0] == model.score([b""])[0]
+
+
+def test_calibration_uses_rows_kept_from_fitting(spark, monkeypatch):
+    texts = [f"{'idiot' if i % 2 else 'fine'} words {i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] * 2, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] * 3, "doc_id bigint, toxic int")
+    seen = {}
+    train, calibrate = toxicity.train, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "train", lambda t, *a, **k: seen.update(train=t) or train(t, *a, **k))
+    monkeypatch.setattr(toxicity, "calibrate", lambda s, *a, **k: seen.update(calibrated=len(s)) or calibrate(s, *a, **k))
+    model = toxicity.fit(docs, labels)
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200))
+    assert len(set(seen["train"])) == len(seen["train"]) and seen["calibrated"] + len(seen["train"]) == 200 - held and seen["calibrated"] > 10
+    assert set(model.thresholds) <= {"*", "en"}
+    toxicity.fit(docs, labels, sample_bytes=400)
+    assert sum(map(len, seen["train"])) <= 400
+
+
+def test_intermediate_tables_go_and_need_a_shared_folder(spark):
+    made = common.materialise(spark.range(3), "test")
+    path = made.__dict__["_written"]
+    assert made.count() == 3 and os.path.isdir(path.removeprefix("file:"))
+    common.discard(made, None, spark.range(2))
+    assert not os.path.exists(path.removeprefix("file:"))
+    cluster = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d=None: d), sparkContext=types.SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(cluster, "x")
+
+
 def shared(total, sizes, weights, cap=2.0):
     """Targets by sharing the excess again and again."""
     aim = dict.fromkeys(sizes, 0.0)

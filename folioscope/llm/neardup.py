@@ -10,10 +10,11 @@ only that band is aligned. Classes are the connected components of links.
 Texts that are equal word by word are one node from the start, so copies are never compared. First each round takes one
 centre per bucket, compares it with the members that are not yet in its component, and takes it out of the bucket. The
 centre is the member whose buckets hold the most texts: among the copies of an original that is the original, which the
-copies resemble more than each other. Rounds contract components cheaply and go on until one finds no new link. Then, in
-every bucket that still holds members of several components, all pairs of them are compared: every two texts that share a
-bucket end in one component or have been compared. Each text has a bitmap of its shingles; the cells that one text sets
-and the other does not are shingles that no alignment has, so most unlike pairs are dropped exactly and unlisted.
+copies resemble more than each other. Rounds only make components cheaply and go on while at least one in ``YIELD`` of the
+compared pairs is a link; how many there are does not change the result. For then, in every bucket that still holds
+members of several components, all pairs of them that were not compared yet are: every two texts that share a bucket end
+in one component or have been compared. Each text has a bitmap of its shingles; the cells that one text sets and the
+other does not are shingles that no alignment has, so most unlike pairs are dropped exactly and unlisted.
 
 Defined results: a text without words equals only the texts that are the same character by character; null is the empty
 text; the class id is the smallest doc_id of the class (null last), and all rows that repeat it share ``kept``; an empty
@@ -21,10 +22,14 @@ table gives an empty result; only the named columns are read by classes(), and d
 
 Scale: sketches are 8 x ``bands`` bytes a document and made in one pass. Buckets, centres and copies are formed with
 partial aggregation; they go back to their members by equi joins of written tables, which adaptive execution splits where
-a bucket or group is large. Words of documents that share no bucket are not compared; each round's pairs are linear in the
+a bucket or group is large. Texts that share no bucket are left out before words are shuffled, by a Bloom filter of at
+most ``FILTER`` x 8 bytes over the keys of those that do; beyond some 10 million keys for each million of cells more and
+more of the others pass it, until at last all words are shuffled once, and the join by key is exact anyhow. Pairs meet bitmaps
+first, a tenth of the words' size, and words only if these allow a link. Each round's pairs are linear in the
 members. In a bucket of unlike texts the comparison of bitmaps grows with the square of the members that are left; blocks
-of members spread it over tasks, and only pairs that the bitmaps leave open become rows. Links and components stay in
-tables in the shared folder; nothing about documents is collected.
+of members spread it over tasks, and only pairs that the bitmaps leave open become rows. An alignment holds some
+``MASKS`` bytes besides its two texts, however long they are. Links and components stay in tables in the shared folder,
+which go as soon as nothing reads them; nothing about documents is collected but the filter's cells.
 """
 
 from __future__ import annotations
@@ -39,12 +44,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import blobs, few, keyed, materialise, ship, table, utf8_words
+from folioscope.llm.common import blobs, discard, few, keyed, materialise, ship, table, utf8_words
 
 SIZE, BANDS, LENGTH, LEAST = 5, 16, 3, 0.8
 REMEMBERED = 400_000
-#: Rows of ids, and pairs to align, that are worth a task of their own.
-SLIM, ALIGNED = 200_000, 2_000
+#: Rows of ids that are worth a task of their own.
+SLIM = 200_000
+#: Rounds of centres go on while one in so many of their pairs is a link.
+YIELD = 20
+#: Most cells, of 64 bits each, of the filter of keys.
+FILTER = 1 << 20
+#: Bytes that an alignment may use for where shingles stand.
+MASKS = 32 << 20
 #: Members of a bucket that are compared with each other in one go, about.
 BLOCK = 256
 
@@ -129,18 +140,54 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> int:
     inside_a, inside_b = np.isin(a, list(common)), np.isin(b, list(common))
     if np.array_equal(a[inside_a], b[inside_b]) and (np.abs(np.flatnonzero(inside_a) - np.flatnonzero(inside_b)) <= band).all():
         return total + int(inside_a.sum())
-    masks: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        if x in common:
-            masks[x] = masks.get(x, 0) | 1 << i
-    state, width = bits, (1 << (2 * band + 1)) - 1
-    for i, x in enumerate(b.tolist()):
-        at = masks.get(x)
-        if at is not None:
-            at &= width << (i - band) if i >= band else width >> (band - i)
+    return total + _in_band(a, b, band, least / (1 + least) * (len(a) + len(b) + 2 * total) - total)
+
+
+def _in_band(a: np.ndarray, b: np.ndarray, band: int, need: float) -> int:
+    """Length of the longest common subsequence of a and b within ``band`` of the diagonal; 0 once ``need`` is out of reach.
+
+    A bit for each place of a, as far as the band reaches, is cleared where a row of b makes the subsequence longer. Rows
+    come in blocks; places that the band has left are counted and dropped, so memory is that of one block.
+    """
+    step = max(16, min(len(b), 8 * MASKS // (4 * band + 64)))
+    order = np.argsort(a, kind="stable")
+    ranked = a[order]
+    state, base, top, cleared = 0, 0, 0, 0
+    for start in range(0, len(b), step):
+        rows = b[start : start + step]
+        low, high = max(0, start - band), min(len(a), start + len(rows) + band)
+        if low >= len(a):
+            break
+        cleared += low - base - (state & ((1 << (low - base)) - 1)).bit_count()
+        state = state >> (low - base) | ((1 << (high - low)) - (1 << (top - low)) if high > top else 0)
+        base, top, full = low, max(top, high), (1 << (max(top, high) - low)) - 1
+        masks: dict[int, tuple[int, int, int]] = {}
+        values = np.unique(rows)
+        for x, i, j in zip(values.tolist(), np.searchsorted(ranked, values, "left").tolist(), np.searchsorted(ranked, values, "right").tolist(), strict=True):
+            places = order[i:j]
+            places = places[(places >= low) & (places < high)]
+            if len(places) > 32:
+                cells = np.zeros(high - low, np.bool_)
+                cells[places - low] = True
+                masks[x] = int.from_bytes(np.packbits(cells, bitorder="little").tobytes(), "little"), int(places[0]), int(places[-1])
+            elif len(places):
+                at = 0
+                for place in places.tolist():
+                    at |= 1 << (place - low)
+                masks[x] = at, int(places[0]), int(places[-1])
+        for i, x in enumerate(rows.tolist(), start):
+            found = masks.get(x)
+            if found is None:
+                continue
+            at, first, last = found
+            if first < i - band or last > i + band:
+                at &= ((1 << (2 * band + 1)) - 1) << (i - band - base) if i - band >= base else (1 << (i + band + 1 - base)) - 1
             hit = state & at
-            state = ((state + hit) | (state - hit)) & bits
-    return total + len(a) - state.bit_count()
+            if hit:
+                state = ((state + hit) | (state - hit)) & full
+        if cleared + (top - base) - state.bit_count() + len(b) - start - len(rows) < need - 1e-6:
+            return 0
+    return cleared + (top - base) - state.bit_count()
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
@@ -188,6 +235,14 @@ def possible(rows: list[tuple[int, bytes, int, bytes]], least: float = LEAST) ->
             yield order[i], order[i + 1 + int(k)]
 
 
+def may_link(n: int, left: bytes, m: int, right: bytes, least: float = LEAST) -> bool:
+    """Whether bitmaps of two texts of n and m shingles allow a link."""
+    size = min(len(left), len(right))
+    a, b = _folded(left, size), _folded(right, size)
+    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return most >= least * (n + m - most)
+
+
 def text_key(text: bytes | None, words: list[bytes]) -> bytes:
     """128 bits that texts share if their words agree, or if they have none and are the same."""
     return hashlib.sha256(b"w" + b" ".join(words) if words else b"t" + (text or b"")).digest()[:16]
@@ -209,19 +264,38 @@ def _sketched(size: int, bands: int, length: int):
     return run
 
 
-def _worded(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in stream:
-        texts = blobs(batch.column(0))
-        words = [utf8_words(t) for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array([text_key(t, w) for t, w in zip(texts, words, strict=True)], pa.binary()), pa.array([b" ".join(w) for w in words], pa.binary())], names=["key", "words"])
+def _places(keys: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter's cell of each key, a row of 16 bytes, and the three bits that it sets there."""
+    at = keys[:, :8].copy().view(">u8")[:, 0].astype(np.uint64)
+    bits = np.bitwise_or.reduce([np.uint64(1) << (keys[:, k] & 63).astype(np.uint64) for k in (8, 9, 10)])
+    return (at & np.uint64(cells - 1)).astype(np.int64), bits
+
+
+def key_filter(keys: DataFrame, rows: int) -> np.ndarray:
+    """A Bloom filter of keys: cells of 64 bits, as many as fit ``rows`` keys but FILTER at most."""
+    cells = min(FILTER, 1 << max(4, (rows // 4).bit_length()))
+    at = F.conv(F.hex(F.substring("key", 5, 4)), 16, 10).cast("bigint").bitwiseAND(F.lit(cells - 1))
+    bit = lambda k: F.expr(f"shiftleft(1L, cast(conv(hex(substring(key, {k + 1}, 1)), 16, 10) as int) & 63)")
+    found = keys.groupBy(at.alias("at")).agg(F.bit_or(bit(8)).alias("x"), F.bit_or(bit(9)).alias("y"), F.bit_or(bit(10)).alias("z"))
+    table = found.select("at", F.col("x").bitwiseOR(F.col("y")).bitwiseOR(F.col("z")).alias("bits")).toArrow()
+    out = np.zeros(cells, np.uint64)
+    out[table["at"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return out
 
 
-def _marked(size: int):
+def _worded(shared, size: int):
+    """From texts to the keys, words and bitmaps of those that the filter lets through."""
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in stream:
-            made = [marks(shingles(w.split(), known, size)) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "marks"])
+            texts = blobs(batch.column(0))
+            words = [utf8_words(t) for t in texts]
+            keys = [text_key(t, w) for t, w in zip(texts, words, strict=True)]
+            cells, bits = _places(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16), len(shared.value))
+            held = np.flatnonzero((shared.value[cells] & bits) == bits).tolist()
+            kept = [words[i] for i in held]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in held], pa.binary()), pa.array([b" ".join(w) for w in kept], pa.binary()), pa.array([marks(shingles(w, known, size)) if w else b"" for w in kept], pa.binary())], names=["key", "words", "marks"])
 
     return run
 
@@ -249,6 +323,17 @@ def _paired(least: float):
     return run
 
 
+def _allowed(least: float):
+    """Pairs (a, b, ra, rb) of rows (a, b, ra, rb, an, am, bn, bm) whose bitmaps allow a link."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            good = [i for i, (n, left, m, right) in enumerate(zip(*(c.to_pylist() for c in batch.columns[4:]), strict=True)) if may_link(n, left, m, right, least)]
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(good, pa.int64())) for c in batch.columns[:4]], names=["a", "b", "ra", "rb"])
+
+    return run
+
+
 def _verified(size: int, least: float):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -281,15 +366,18 @@ def components(links: DataFrame, rows: int | None = None) -> DataFrame:
         large = kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         lower = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = kept(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+        before, edges = edges, kept(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+        discard(before, least, large, lower)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+    out = kept(edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct()))
+    discard(edges)
+    return out
 
 
-def _left_open(members: DataFrame, words: DataFrame, size: int, least: float) -> DataFrame | None:
+def _left_open(members: DataFrame, bitmaps: DataFrame, least: float) -> DataFrame | None:
     """All pairs (a, b, ra, rb) of members (bucket, key, n, root) with one bucket, unlike roots and bitmaps that allow a link.
 
     Members of a bucket's largest component, in blocks of their own, meet only the blocks of the others.
@@ -298,69 +386,106 @@ def _left_open(members: DataFrame, words: DataFrame, size: int, least: float) ->
     mixed = by_root.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all")).where("all > top.c").selectExpr("bucket", "top.root as top", f"cast(ceil(top.c / {BLOCK}) as int) as g", f"cast(ceil((all - top.c) / {BLOCK}) as int) as h")
     left = materialise(members.join(mixed, "bucket"), "left")
     if left.isEmpty():
+        discard(left)
         return None
-    bitmaps = materialise(words.join(left.select("key").distinct(), "key", "left_semi").select("key", "words").mapInArrow(_marked(size), "key binary, marks binary"), "marks")
     own = left.withColumn("own", F.expr("cast(if(root = top, h + pmod(xxhash64(key, bucket), g), pmod(xxhash64(key, bucket), h)) as int)"))
     met = own.withColumn("other", F.explode(F.expr("sequence(0, if(root = top, h, h + g) - 1)")))
     dealt = met.join(bitmaps, "key").select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "root", "marks")
     blocks = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return blocks.mapInArrow(_paired(least), "a binary, b binary, ra binary, rb binary").distinct()
+    out = materialise(blocks.mapInArrow(_paired(least), "a binary, b binary, ra binary, rb binary").distinct(), "open")
+    discard(left)
+    return out
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, bands: int = BANDS, length: int = LENGTH, least: float = LEAST) -> DataFrame:
-    """One row per document: doc_id, key of its words, root key of its class."""
-    ship(docs.sparkSession)
+    """One row per document: doc_id, key of its words, root key of its class; a written table."""
+    spark = ship(docs.sparkSession)
     read = keyed(docs, doc_id=doc_id, text=text)
     made = materialise(read.mapInArrow(_sketched(size, bands, length), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key binary, n int, sketch array<bigint>"), "sketches")
     nodes = made.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    members = materialise(nodes.select("key", "n", F.explode("sketch").alias("bucket")), "members")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    every = materialise(nodes.select("key", "n", F.explode("sketch").alias("bucket")), "members")
+    shared = materialise(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
     spread = F.sum("c").over(Window.partitionBy("key"))
-    members = materialise(members.join(materialise(shared, "buckets"), "bucket").select("bucket", "key", "n", spread.alias("weight"), F.col("key").alias("root")), "members")
-    wanted = members.select("key").distinct()
-    words = materialise(read.select("text").mapInArrow(_worded, "key binary, words binary").groupBy("key").agg(F.first("words").alias("words")).join(wanted, "key", "left_semi"), "words")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(words.select(F.col("key").alias("b"), F.col("words").alias("right")), "b").join(words.select(F.col("key").alias("a"), F.col("words").alias("left")), "a")
-        tested = pairs.count()
-        checked = few(both, tested, ALIGNED).select("a", "left", "right", "ra", "rb").mapInArrow(_verified(size, least), "a binary, b binary")
+    members = materialise(every.join(shared, "bucket").select("bucket", "key", "n", spread.alias("weight"), F.col("key").alias("root")), "members")
+    discard(every, shared)
+    wanted = materialise(members.select("key").distinct(), "wanted")
+    sieve = spark.sparkContext.broadcast(key_filter(wanted, wanted.count()))
+    texts = read.select("text").mapInArrow(_worded(sieve, size), "key binary, words binary, marks binary")
+    words = materialise(texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"), F.first("marks").alias("marks")), "words")
+    bitmaps = words.select("key", "marks")
+    sieve.destroy()
+    discard(wanted)
+
+    def linked(pairs: DataFrame, tested: int) -> DataFrame:
+        """The pairs (a, b, ra, rb) that are links, as their roots (a, b); a written table."""
+        side = lambda k, column, name: words.select(F.col("key").alias(k), F.col(column).alias(name))
+        both = pairs.join(side("b", "words", "right"), "b").join(side("a", "words", "left"), "a")
+        checked = both.select("a", "left", "right", "ra", "rb").mapInArrow(_verified(size, least), "a binary, b binary")
         return materialise(few(checked.distinct(), tested, SLIM), "links")
 
-    def merged(roots: DataFrame | None, moved: DataFrame) -> DataFrame:
-        if roots is not None:
-            before = roots.join(moved.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
-            moved = before.unionByName(moved).groupBy("key").agg(F.min("root").alias("root"))
-        return materialise(moved, "roots")
+    def allowed(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, an, b, bn, ra, rb) whose bitmaps allow a link; a written table."""
+        side = lambda k: bitmaps.select(F.col("key").alias(k), F.col("marks").alias(f"{k}m"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a")
+        return materialise(both.select("a", "b", "ra", "rb", "an", "am", "bn", "bm").mapInArrow(_allowed(least), "a binary, b binary, ra binary, rb binary"), "allowed")
 
-    roots = tried = None
+    def merged(roots: DataFrame | None, moved: DataFrame) -> DataFrame:
+        if roots is None:
+            return moved
+        before = roots.join(moved.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
+        out = materialise(before.unionByName(moved).groupBy("key").agg(F.min("root").alias("root")), "roots")
+        discard(roots, moved)
+        return out
+
+    roots, tried = None, []
     while True:
         many = members.count()
         first = F.min(F.struct((-F.col("weight")).alias("w"), F.xxhash64("key", "bucket").alias("h"), "key", "n", "root")).alias("c")
         centres = members.groupBy("bucket").agg(first, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket", F.col("c.key").alias("a"), F.col("c.n").alias("an"), F.col("c.root").alias("ar"))
-        split = materialise(few(members.join(materialise(few(centres, many, SLIM), "centres"), "bucket"), many, SLIM), "split")
+        centres = materialise(few(centres, many, SLIM), "centres")
+        split = materialise(few(members.join(centres, "bucket"), many, SLIM), "split")
+        discard(members, centres)
         near = f"root <> ar and least(n, an) >= {least} * greatest(n, an)"
         order = lambda x, y: F.when(F.col("a") < F.col("key"), F.col(x)).otherwise(F.col(y))
-        pairs = split.where(near).select(order("a", "key").alias("a"), order("key", "a").alias("b"), order("ar", "root").alias("ra"), order("root", "ar").alias("rb")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = split.where(near).select(order("a", "key").alias("a"), order("key", "a").alias("b"), order("an", "n").alias("an"), order("n", "an").alias("bn"), order("ar", "root").alias("ra"), order("root", "ar").alias("rb")).distinct()
+        for earlier in tried:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         pairs = materialise(few(pairs, many, SLIM), "pairs")
-        found = linked(pairs)
+        tested = pairs.count()
+        tried.append(pairs.select("a", "b"))
+        fit = allowed(pairs)
+        found = linked(fit, tested)
         links = found.count()
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        if not links:
+        members = split.where("key <> a").select("bucket", "key", "n", "weight", "root")
+        if links:
+            moved = components(found, links)
+            to = moved.select(F.col("key").alias("root"), F.col("root").alias("to"))
+            members = members.join(to, "root", "left").select("bucket", "key", "n", "weight", F.coalesce("to", "root").alias("root"))
+            members = materialise(few(members, many, SLIM), "members")
+            roots = merged(roots, moved)
+        else:
+            members = materialise(few(members, many, SLIM), "members")
+        discard(split, fit, found)
+        if YIELD * links < tested or not links:
             break
-        moved = materialise(few(components(found, links), 2 * links, SLIM), "moved")
-        members = materialise(few(split.where("key <> a").select("bucket", "key", "n", "weight", "root").join(moved.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("bucket", "key", "n", "weight", F.coalesce("to", "root").alias("root")), many, SLIM), "members")
-        roots = merged(roots, moved)
-    pairs = _left_open(split.where("key <> a").select("bucket", "key", "n", "root"), words, size, least)
-    if pairs is not None:
-        found = linked(materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"))
+    left = _left_open(members, bitmaps, least)
+    if left is not None:
+        rest = left
+        for earlier in tried:
+            rest = rest.join(earlier, ["a", "b"], "left_anti")
+        rest = materialise(rest, "rest")
+        found = linked(rest, rest.count())
         links = found.count()
         if links:
             roots = merged(roots, components(found, links))
+        discard(left, rest, found)
     if roots is None:
-        return made.select("doc_id", "key", F.col("key").alias("root"))
-    return made.join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+        out = made.select("doc_id", "key", F.col("key").alias("root"))
+    else:
+        out = made.join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+    out = materialise(out, "grouped")
+    discard(made, members, words, roots)
+    return out
 
 
 def _chosen(rows: DataFrame) -> DataFrame:
@@ -371,7 +496,7 @@ def _chosen(rows: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept."""
-    rows = materialise(grouped(docs, doc_id, text, **options), "grouped")
+    rows = grouped(docs, doc_id, text, **options)
     joined = rows.join(materialise(_chosen(rows), "classes"), "root", "left")
     several = F.col("class_size").isNotNull()
     return joined.select("doc_id", F.when(several, F.col("best_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (~several | F.col("doc_id").eqNullSafe(F.col("best_id"))).alias("kept"))
@@ -382,7 +507,7 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
 
     Rows are matched by id and words; of several rows that agree in both, one stays.
     """
-    rows = materialise(grouped(docs, doc_id, text, **options), "grouped")
+    rows = grouped(docs, doc_id, text, **options)
     chosen = materialise(_chosen(rows), "classes")
     left = rows.join(chosen, "root", "left").where("class_size is null or (doc_id <=> best_id and key = best_key)")
     stays = materialise(left.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies")), "stays")

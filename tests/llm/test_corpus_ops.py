@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import types
 import zlib
 
@@ -351,6 +352,83 @@ def test_banded_alignment():
         assert neardup.similar(x, y) == true and (not true or neardup.aligned(x, y) == m)
 
 
+def test_banded_alignment_in_blocks(monkeypatch):
+    r = random.Random(7)
+    for blocks in (200, 3000, 32 << 20):
+        monkeypatch.setattr(neardup, "MASKS", blocks)
+        for _ in range(60):
+            many = r.choice([1, 2, 40, 3000])
+            a = [r.randrange(many) for _ in range(r.randint(100, 900))]
+            b = [x for x in a if r.random() > 0.03]
+            for _ in range(r.randint(0, 30)):
+                b.insert(r.randrange(len(b) + 1), r.randrange(many))
+            m = lcs(a, b)
+            true = m >= 0.8 * (len(a) + len(b) - m)
+            x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+            assert neardup.similar(x, y) == true and (not true or neardup.aligned(x, y) == m)
+
+
+def test_long_alignments_stay_small():
+    r = np.random.default_rng(3)
+    a = r.integers(0, 1 << 40, 60_000, dtype=np.uint64)
+    b = np.delete(a, r.integers(0, len(a), 5_000))
+    b[r.integers(0, len(b), 200)] = 1
+    tracemalloc.start()
+    assert neardup.similar(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 3 * neardup.MASKS
+    tracemalloc.stop()
+    assert neardup.similar(np.full(40_000, 5, np.uint64), np.full(39_000, 5, np.uint64))
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs of an edit similarity of 0.8 to 0.95 over shingles, judged by a plain alignment; at least 0.99 are found."""
+    r, known = random.Random(12), {}
+    texts, links = [], set()
+    for k in range(400):
+        base = [f"w{k}x{r.randrange(900)}" for _ in range(r.randrange(120, 400))]
+        copy = list(base)
+        for _ in range(max(1, int(len(base) * r.uniform(0.006, 0.024)))):
+            copy[r.randrange(len(copy))] = f"edit{r.randrange(10**6)}"
+        a, b = (neardup.shingles([x.encode() for x in t], known) for t in (base, copy))
+        m = lcs(a.tolist(), b.tolist())
+        if 0.8 <= m / (len(a) + len(b) - m) <= 0.95:
+            links.add((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(copy)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert len(links) > 250 and sum(found[a] == found[b] for a, b in links) >= 0.99 * len(links)
+
+
+def test_answers_do_not_depend_on_other_buckets(spark):
+    """Three texts in one bucket, of which two are a link and the third, unlike both, may be the centre."""
+    r = random.Random(1)
+    passage = [f"p{i}" for i in range(160)]
+    texts = [" ".join(passage + [f"a{i}" for i in range(90)])]
+    own = [f"b{i}" for i in range(60)]
+    texts += [" ".join(passage + own), " ".join(passage + own[:30] + ["edit"] + own[31:])]
+    more = [" ".join(f"m{k}x{i}" for i in range(50)) for k in range(4) for _ in (0, 1)]
+    more = [t + f" end{i}" for i, t in enumerate(more)]
+    for n in (3, len(texts) + len(more)):
+        both = (texts + more)[:n]
+        docs = spark.createDataFrame(list(enumerate(both)), "doc_id bigint, text string").orderBy(F.rand(r.randrange(99)))
+        for bands in (1, 4):
+            found = {x.doc_id: x.class_id for x in neardup.classes(docs, bands=bands, length=1).collect()}
+            pairs = [(i, j) for i in range(n) for j in range(i) if set(sketch_of(both[i], bands, 1)) & set(sketch_of(both[j], bands, 1)) and brute_classes([both[i], both[j]])[1] == 0]
+            assert all(found[i] == found[j] for i, j in pairs) and found[0] != found[1]
+
+
+def sketch_of(text, bands, length):
+    return neardup.sketch(neardup.shingles([w.encode() for w in text.split()], {}), bands, length).tolist()
+
+
+def test_the_filter_keeps_every_key(spark):
+    keys = [hashlib.sha256(b"%d" % i).digest()[:16] for i in range(3000)]
+    made = neardup.key_filter(spark.createDataFrame([(bytearray(k),) for k in keys[:1500]], "key binary"), 1500)
+    cells, bits = neardup._places(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16), len(made))
+    passed = (made[cells] & bits) == bits
+    assert passed[:1500].all() and passed[1500:].mean() < 0.1
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(200 + r.randrange(30), 200 + r.randrange(30)) for _ in range(25)]

@@ -17,12 +17,8 @@ def module_probe(required: Column, present: Column) -> Column:
 
 def converter_probe(windows: Column, bridge: Column, engines: Column) -> Column:
     """A struct of ok and detail for the converter: it needs the platform, its bridge and an engine."""
-    return (
-        F.when(~windows, F.struct(F.lit(False).alias("ok"), F.lit("not Windows").alias("detail")))
-        .when(~bridge, F.struct(F.lit(False), F.lit("bridge missing")))
-        .when(F.size(engines) == 0, F.struct(F.lit(False), F.lit("no engine")))
-        .otherwise(F.struct(F.lit(True), F.array_join(engines, " + ")))
-    )
+    lacking = F.when(~windows, "not Windows").when(~bridge, "bridge missing").when(F.size(engines) == 0, "no engine")
+    return F.struct(lacking.isNull().alias("ok"), F.coalesce(lacking, F.array_join(engines, " + ")).alias("detail"))
 
 
 def first_success(*tries: Column) -> Column:

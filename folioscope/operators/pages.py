@@ -67,12 +67,27 @@ def captions(blocks: DataFrame) -> DataFrame:
     places = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: starts(F.get("_lines", i)))
     found = blocks.withColumn("_lines", lines).where(F.size("_lines") > 0).withColumn("_at", F.get(places, F.lit(0))).where(F.col("_at").isNotNull())
     rest = T.squeeze(F.array_join(F.slice("_lines", F.col("_at") + 1, F.size("_lines")), " "))
-    read = found.withColumn("num", T.caption_number(F.get("_lines", F.col("_at")))).withColumn("_rest", rest).withColumn("_panels", T.panel_letters(F.col("_rest")))
+    read = found.withColumn("num", T.caption_number(F.get("_lines", F.col("_at"))))
     first = F.row_number().over(Window.partitionBy("doc_id", "num").orderBy("page", "y0", "block"))
-    kept = read.withColumn("_rn", first).where("_rn = 1")
+    kept = read.withColumn("_rn", first).where("_rn = 1").withColumn("_rest", rest).withColumn("_panels", T.panel_letters(F.col("_rest")))
     return kept.select("doc_id", "num", "page", "x0", "y0", "x1", "y1", F.substring("_rest", 1, P.CAPTION_CHARS).alias("text"), "_panels.panels", "_panels.panels_from")
 
 
+def line_offsets(blocks: DataFrame) -> DataFrame:
+    """The lines of text blocks (doc_id, block, text) with pos and offset, the place in the block where each starts.
+
+    Every line end counts as one character, whatever it is.
+    """
+    lines = blocks.select("doc_id", "block", F.posexplode(T.lines_of(F.col("text"))).alias("pos", "line"))
+    before = Window.partitionBy("doc_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("int"))
+
+
+def caption_census(texts: DataFrame) -> DataFrame:
+    """The figure numbers that texts (doc_id, text) give before a bar, as captions in some journals do."""
+    return texts.select("doc_id", T.figure_numbers(F.col("text"), "CAPTION_BAR").alias("figures"))
+
+
 def match_captions(regions: list[tuple], found: list[tuple]) -> list[int | None]:
     """For each region (page, x0, y0, x1, y1), in order, the place of its caption in ``found`` (same form), or None.
 

@@ -208,23 +208,25 @@ def split_figure(rgb: np.ndarray, labels: dict[str, Box], ocr: Sequence[tuple[st
 
 
 def split_figures(images: DataFrame) -> DataFrame:
-    """One row per panel of images (fig_id, height, width, nChannels, data, ocr, layout, expect).
+    """One row per panel of images (fig_id, height, width, nChannels, data, ocr, layout, expect, grid).
 
-    ``ocr`` is an array of (text, x0, y0, x1, y1), ``layout`` an array of panels per row and ``expect`` an array of
-    names; the last two may be null. Labels are found among the texts by the rules of boxes.panel_labels().
+    ``ocr`` is an array of (text, x0, y0, x1, y1), ``layout`` an array of panels per row, ``expect`` an array of names and
+    ``grid`` an array of rows and columns; the last three may be null or missing. Labels are found among the texts by the
+    rules of boxes.panel_labels(). Each row has its figure's method, status, problems, share of ink kept and lost texts.
     """
     ship(images.sparkSession)
 
     def split(batches):
         for pdf in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                ocr = [(o["text"], (o["x0"], o["y0"], o["x1"], o["y1"])) for o in (r.ocr if r.ocr is not None else [])]
-                made = split_figure(decoded(r.height, r.width, r.nChannels, r.data), find_labels(ocr), ocr, layout=None if r.layout is None else list(r.layout), expect=None if r.expect is None else list(r.expect))
-                rows += [(r.fig_id, name, *map(int, b), made["status"], made["problems"]) for name, b in made["panels"].items()]
-            yield pd.DataFrame(rows, columns=["fig_id", "panel", "x0", "y0", "x1", "y1", "status", "problems"])
-
-    return images.mapInPandas(split, "fig_id bigint, panel string, x0 int, y0 int, x1 int, y1 int, status int, problems array<string>")
+            for r in pdf.to_dict("records"):
+                ocr = [(o["text"], (o["x0"], o["y0"], o["x1"], o["y1"])) for o in (r["ocr"] if r["ocr"] is not None else [])]
+                given = {k: list(r[k]) for k in ("layout", "expect", "grid") if r.get(k) is not None}
+                made = split_figure(decoded(r["height"], r["width"], r["nChannels"], r["data"]), find_labels(ocr), ocr, **given)
+                rows += [(r["fig_id"], name, *map(int, b), made["method"], made["status"], made["problems"], made["ink_kept"], made["lost_text"]) for name, b in made["panels"].items()]
+            yield pd.DataFrame(rows, columns=["fig_id", "panel", "x0", "y0", "x1", "y1", "method", "status", "problems", "ink_kept", "lost_text"])
+
+    return images.mapInPandas(split, "fig_id bigint, panel string, x0 int, y0 int, x1 int, y1 int, method string, status int, problems array<string>, ink_kept double, lost_text array<string>")
 
 
 def find_labels(ocr: Sequence[tuple[str, Box]]) -> dict[str, Box]:

@@ -92,21 +92,25 @@ def images(records: DataFrame, sizes: DataFrame) -> DataFrame:
     return counted.withColumn("figure", F.when(~F.col("furniture"), F.get(numbers, F.col("_place") - 1))).select("doc_id", "pos", "media", "side", "furniture", "figure")
 
 
-def media_names(numbered: DataFrame) -> DataFrame:
+def media_names(numbered: DataFrame, readable: DataFrame | None = None) -> DataFrame:
     """Adds the file that each image is saved to; an image that occurs again has the file of its first occurrence.
 
-    One counter runs over the first occurrences of a document. Where two would share a name, later ones get a suffix.
+    One counter runs over the first occurrences of a document. Where two would share a name, later ones get a suffix. With
+    ``readable`` (doc_id, media) an image that is not among them has no file, and each of its occurrences is counted.
     """
     first = F.first("pos").over(Window.partitionBy("doc_id", "media").orderBy("pos"))
-    own = numbered.withColumn("_first", first)
-    firsts = own.where("pos = _first").withColumn("_seq", F.row_number().over(_ordered()))
+    own = numbered.withColumn("_first", first).withColumn("_ok", F.lit(True))
+    if readable is not None:
+        known = readable.select("doc_id", "media").distinct().withColumn("_there", F.lit(True))
+        own = own.join(known, ["doc_id", "media"], "left").withColumn("_ok", F.coalesce("_there", F.lit(False))).drop("_there")
+    firsts = own.where("pos = _first or not _ok").withColumn("_seq", F.row_number().over(_ordered())).where("_ok")
     ending = F.when(F.rlike("media", F.lit(r"[^/.][^/]*\.[^./]*\z")), F.concat(F.lit("."), F.regexp_extract("media", r"\.([^./]*)\z", 1))).otherwise(F.lit(".png"))
     two = lambda c: F.when(c < 100, F.lpad(c.cast("string"), 2, "0")).otherwise(c.cast("string"))
     stem = F.when(F.col("furniture"), F.concat(F.lit("logo"), two(F.col("_seq")))).when(F.col("figure").isNotNull(), F.concat(F.lit("fig"), two(F.col("figure")))).otherwise(F.concat(F.lit("img"), two(F.col("_seq"))))
     named = firsts.withColumn("_stem", stem).withColumn("_end", ending)
     again = F.row_number().over(Window.partitionBy("doc_id", "_stem", "_end").orderBy("pos"))
     named = named.withColumn("file", F.concat(F.lit("media/"), "_stem", F.when(again > 1, F.concat(F.lit("_"), (F.col("_seq") + 1).cast("string"))).otherwise(F.lit("")), "_end"))
-    return own.join(named.select("doc_id", F.col("pos").alias("_first"), "file"), ["doc_id", "_first"]).drop("_first")
+    return own.join(named.select("doc_id", F.col("pos").alias("_first"), "file"), ["doc_id", "_first"], "left").drop("_first", "_ok")
 
 
 def manifest(records: DataFrame, numbered: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from folioscope.operators import records as R
 from folioscope.plans import fixtures as X
 from folioscope.plans.oracles import SQL
 from folioscope.session import table
+from folioscope.sources.docx import parse_docx
 
 
 def joined(items: str | Column) -> Column:
@@ -139,9 +140,9 @@ def toc_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.strip_toc(X.lines(spark, sf_dir, X.TOC)).select("doc_id", "pos", "line")
 
 
-def _chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _chunk_docs(spark: SparkSession, sf_dir: str, expression: str = X.CHUNKS) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]), "\n\n")
-    return X.lines(spark, sf_dir, X.CHUNKS).groupBy("doc_id").agg(text.alias("text"))
+    return X.lines(spark, sf_dir, expression).groupBy("doc_id").agg(text.alias("text"))
 
 
 def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +162,9 @@ def image_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relocate_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its figures placed."""
-    return M.relocate_figures(_chunk_docs(spark, sf_dir)).select("doc_id", F.length("markdown").alias("chars"), F.size("report").alias("figures"), F.size(F.filter("report", lambda r: r["placed"])).alias("placed"), "status")
+    found = M.relocate_figures(_chunk_docs(spark, sf_dir, X.RELOCATE))
+    told = F.array_join(F.transform("report", lambda r: F.concat(r["figure"].cast("string"), F.lit(": "), F.coalesce(r["after"], F.lit("-")))), "; ")
+    return found.select("doc_id", F.length("markdown").alias("chars"), F.md5(F.col("markdown").cast("binary")).alias("digest"), F.size("report").alias("figures"), F.size(F.filter("report", lambda r: r["placed"])).alias("placed"), told.alias("report"), "status")
 
 
 def toc_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,9 +243,8 @@ def html_heading_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def navigation_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with a navigation made for it, tidied."""
-    nav = "'<nav id=\"TOC\"><ul><li><a href=\"#a\" id=\"toc-a\">Part</a></li><li><a href=\"#f\" id=\"toc-f\">Fig. ' || (page_id % 5) || ' x</a></li></ul></nav>' || html || case when page_id % 2 = 0 then '<h2 id=\"a\">Part</h2>' else '' end"
-    found = table(spark, sf_dir, "pages").select("page_id", M.tidy_navigation(F.expr(nav)).alias("t"))
-    return found.select("page_id", F.length("t.html").alias("chars"), F.locate("<nav id=\"TOC\"", F.col("t.html")).alias("at"), "t.kept", "t.dropped")
+    found = table(spark, sf_dir, "pages").select("page_id", M.tidy_navigation(F.expr(X.NAVIGATION)).alias("t"))
+    return found.select("page_id", F.length("t.html").alias("chars"), F.md5(F.col("t.html").cast("binary")).alias("digest"), F.locate("<nav id=\"TOC\"", F.col("t.html")).alias("at"), "t.kept", "t.dropped")
 
 
 def stitched_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +291,71 @@ def capability_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panels cut from the pixels of every figure."""
-    return PX.split_figures(X.figures(spark, sf_dir)).select("fig_id", "panel", "x0", "y0", "x1", "y1", "status")
+    return PX.split_figures(X.figures(spark, sf_dir)).select("fig_id", "panel", "x0", "y0", "x1", "y1", "method", F.array_join("problems", "; ").alias("problems"), "ink_kept", "status")
+
+
+def rendered_markdown_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's records as Markdown with anchors of its figures, by length and digest."""
+    made = R.render_markdown(_classified(spark, sf_dir, X.MENTIONS), R.media_names(_numbered(spark, sf_dir)))
+    return made.select("doc_id", F.length("markdown").alias("chars"), F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
+def readable_media_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file name of every image where some cannot be read."""
+    numbered = _numbered(spark, sf_dir)
+    return R.media_names(numbered, numbered.where("(doc_id + pos) % 5 <> 1")).select("doc_id", "pos", "media", "file")
+
+
+def caption_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures that each document's captions with a bar number."""
+    texts = X.lines(spark, sf_dir, X.BARS).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]), "\n").alias("text"))
+    return G.caption_census(texts).select("doc_id", joined("figures").alias("figures"))
+
+
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of each text with its place in the text."""
+    return G.line_offsets(table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("block"), F.translate("text", "\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029", "").alias("text"))).select("doc_id", "pos", "offset", F.length("line").alias("chars"))
+
+
+def forced_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that a list per document asks for, with their zoom."""
+    spec = F.expr("(1 + doc_id % 9) || ', ' || (2 + doc_id % 5) || '-' || (1 + doc_id % 11) || ',,7'")
+    wanted = table(spark, sf_dir, "documents").select("doc_id", T.page_list(spec, F.lit(8)).alias("pages"))
+    return G.rendered(G.features(X.pages(spark, sf_dir)), wanted).select("doc_id", "page", "zoom")
+
+
+def strip_toc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the tables of contents that were written into it."""
+    texts = X.lines(spark, sf_dir, X.TOC).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]), "\n").alias("text"))
+    found = texts.select("doc_id", M.strip_toc_block(F.col("text")).alias("t"))
+    return found.select("doc_id", F.length("t.text").alias("chars"), F.md5(F.col("t.text").cast("binary")).alias("digest"), "t.had")
+
+
+def recognised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of what a recogniser found in every figure."""
+    texts = X.panels(spark, sf_dir)[1]
+    polygon = "array(array(x0 + 0.5D, y0 + 0.25D), array(x1 - 1.0D, y0 + 0.0D), array(x1 - 0.5D, y1 - 0.75D), array(x0 + 0.0D, y1 - 1.0D))"
+    return B.recognised(texts.selectExpr("fig_id", "' ' || text || '\\t' as text", f"{polygon} as polygon"))
+
+
+def capability_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every machine cannot do, in words."""
+    return C.verdict(X.probes(spark, sf_dir)).select("machine", F.array_join("limits", "; ").alias("limits"))
+
+
+def capability_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes of modules and converter of every machine, the engine that comes first, and a path on its device."""
+    there = "filter(array('a', 'b', 'c'), (m, i) -> (c_custkey + i) % 3 <> 0)"
+    engines = "filter(array('one', 'two'), (m, i) -> shiftright(c_custkey, i) % 2 = 1)"
+    base = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as machine", f"{there} as there", f"{engines} as engines", "c_custkey % 5 <> 0 as windows", "c_custkey % 7 <> 0 as bridge", "concat(char(cast(65 + c_custkey % 26 as int)), ':\\\\a\\\\', c_custkey) as path")
+    module, converter = C.module_probe(F.array(F.lit("a"), F.lit("b")), F.col("there")), C.converter_probe(F.col("windows"), F.col("bridge"), F.col("engines"))
+    found = base.select("machine", module.alias("m"), converter.alias("c"), C.first_success(*[F.when(F.array_contains("engines", e), F.lit(e)) for e in ("one", "two")]).alias("engine"), C.device_path(F.col("path")).alias("device"))
+    return found.select("machine", F.col("m.ok").alias("modules_ok"), joined("m.missing").alias("missing"), F.col("c.ok").alias("converter_ok"), F.col("c.detail").alias("detail"), "engine", "device")
+
+
+def word_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read from every document as a Word file."""
+    return parse_docx(X.word_files(spark, sf_dir)).select(F.col("path").alias("doc_id"), "pos", "kind", "text", "level", "media", "error")
 
 
 _QUERIES = (
@@ -298,7 +364,8 @@ _QUERIES = (
     page_ranges, fence_parity, heading_slugs, toc_entries, toc_strip, toc_insert, chunk_split, figure_chunk_number, image_conservation,
     relocate_figures, pair_captions, figure_regions, panel_labels, label_in_box, panel_furniture, segmentation_score, best_gutter,
     stitched_text, style_levels, panel_specs, page_text, label_problems, texts_in_crops, capability_report, panel_split,
-    reading_order, merge_to_count, capability_verdict, html_heading_census, navigation_tidy,
+    reading_order, merge_to_count, capability_verdict, html_heading_census, navigation_tidy, rendered_markdown_figures, readable_media_names,
+    caption_census, line_offsets, forced_pages, strip_toc_blocks, recognised_texts, capability_limits, capability_probes, word_records,
 )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folioscope.functions import patterns as P
 from folioscope.plans import fixtures as X
+from folioscope.plans import folds
 
 
 def _lines(expression: str) -> str:
@@ -52,6 +53,10 @@ _IMAGES = f"""
 
 _RECORDS = f"with {_classified(X.MENTIONS)},{_CENSUS},{_FLOOR},{_IMAGES}"
 
+_FILES = """n as (select *, 'media/' || case when furniture then 'logo' || lpad(seq::varchar, cast(greatest(2, length(seq::varchar)) as int), '0') when figure is not null then 'fig' || lpad(figure::varchar, 2, '0')
+       else 'img' || lpad(seq::varchar, cast(greatest(2, length(seq::varchar)) as int), '0') end || '.png' as file
+       from (select *, row_number() over (partition by doc_id order by pos) as seq from images))"""
+
 _FENCED = f"""
   l as (select *, regexp_matches(line, '{P.re2("FENCE_LINE")}') as fence from {_lines(X.MARKDOWN)}),
   fenced as (select *, coalesce(sum(fence::int) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as inside from l)"""
@@ -150,10 +155,14 @@ from {_PAGES} group by doc_id""",
   n as (select distinct doc_id, unnest({_SPREAD}) as name from t),
   plain as (select doc_id, name, row_number() over (partition by doc_id order by name) - 1 as i from n where length(name) = 1),
   run as (select doc_id, list(name order by name) as run from plain where ascii(name) - 97 = i group by doc_id),
-  idx as (select doc_id, list(name order by name) as idx from n where length(name) = 2 group by doc_id)
-select d.doc_id, case when len(coalesce(run, [])) >= 2 then array_to_string(run, ',') when len(coalesce(idx, [])) >= 2 and idx[1] = 'a1' then array_to_string(idx, ',') else '' end as panels,
-       case when len(coalesce(run, [])) >= 2 or (len(coalesce(idx, [])) >= 2 and idx[1] = 'a1') then 'parenthesised' else 'none' end as panels_from
-from documents d left join run on run.doc_id = d.doc_id left join idx on idx.doc_id = d.doc_id""",
+  idx as (select doc_id, list(name order by name) as idx from n where length(name) = 2 group by doc_id),
+  bare as (select doc_id, unnest(regexp_extract_all({X.PANELS}, '(?:^|[^A-Za-z])([a-z])\\s+[A-Z]', 1)) as name from documents
+           union select doc_id, chr(cast(unnest(range(ascii(a), ascii(b) + 1)) as int))
+           from (select doc_id, regexp_extract({X.PANELS}, '(?:^|[^A-Za-z])([a-z])\\s*[-–]\\s*([a-z])\\s+[A-Z]', 1) as a, regexp_extract({X.PANELS}, '(?:^|[^A-Za-z])([a-z])\\s*[-–]\\s*([a-z])\\s+[A-Z]', 2) as b from documents) where a <> ''),
+  bares as (select doc_id, list(name order by name) as bare from (select *, row_number() over (partition by doc_id order by name) - 1 as i from bare) where ascii(name) - 97 = i group by doc_id),
+  x as (select d.doc_id, coalesce(run, []) as run, coalesce(idx, []) as idx, coalesce(bare, []) as bare from documents d left join run on run.doc_id = d.doc_id left join idx on idx.doc_id = d.doc_id left join bares on bares.doc_id = d.doc_id)
+select doc_id, case when len(run) >= 2 then array_to_string(run, ',') when len(idx) >= 2 and idx[1] = 'a1' then array_to_string(idx, ',') when len(bare) >= 3 then array_to_string(bare, ',') else '' end as panels,
+       case when len(run) >= 2 or (len(idx) >= 2 and idx[1] = 'a1') then 'parenthesised' when len(bare) >= 3 then 'bare' else 'none' end as panels_from from x""",
     "page_ranges": """select doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_concat([1 + doc_id % 9, 7], range(2 + doc_id % 5, 2 + doc_id % 11)), lambda p: p between 1 and 8))), ','), '') as pages from documents""",
     "fence_parity": f"with {_FENCED} select doc_id, cast(pos as int) as pos, fence, inside from fenced",
     "heading_slugs": f"with {_HEADINGS} select doc_id, cast(pos as int) as pos, level, title, anchor from headings",
@@ -219,4 +228,52 @@ select f.fig_id, coalesce(problems, '') as problems, case when problems is null
     "capability_report": f"""with p as (select cast(c_custkey as varchar) as machine, k, key, {X.PROBE} as ok from (select c_custkey, k, ['pymupdf', 'lxml', 'imaging', 'converter', 'ocr', 'vision', 'pandoc', 'browser'][k + 1] as key from customer, range(0, 8) r(k))),
   m as (select machine, string_agg(case when ok then '  ok  ' else '  NO  ' end || rpad(key, 22, ' ') || ' d' || case when ok then '' else chr(10) || '      -> f' end, chr(10) order by k) as t from p group by machine)
 select machine, cast(length(t) as int) as chars, md5(t) as digest from m""",
+    "rendered_markdown_figures": f"""{_RECORDS}, {_FILES},
+  shown as (select c.doc_id, c.pos, case c.class when 'caption' then '**CAPTION Fig ' || c.figure || '** ' || text
+               when 'image' then case when not n.furniture then '[[FIG ' || coalesce(n.figure::varchar, '?') || ' -> ' || n.file || ']]' end
+               when 'heading' then '## ' || text || case when translate then '' else '{P.UNTRANSLATED}' end else text || case when translate then '' else '{P.UNTRANSLATED}' end end as line
+        from classified c left join n on n.doc_id = c.doc_id and n.pos = c.pos),
+  made as (select doc_id, coalesce(string_agg(line, chr(10) || chr(10) order by pos), '') || chr(10) as t from shown group by doc_id)
+select doc_id, cast(length(t) as int) as chars, md5(t) as digest from made""",
+    "readable_media_names": f"""{_RECORDS}, {_FILES}
+select doc_id, cast(pos as int) as pos, media, case when (doc_id + pos) % 5 <> 1 then file end as file from n""",
+    "caption_census": f"""with w as (select doc_id, string_agg(line, chr(10) order by pos) as t from {_lines(X.BARS)} group by doc_id),
+  m as (select distinct doc_id, try_cast(n as int) as n from (select doc_id, unnest(regexp_extract_all(t, '{P.re2("CAPTION_BAR")}', 1)) as p, unnest(regexp_extract_all(t, '{P.re2("CAPTION_BAR")}', 2)) as n from w)
+        where trim(coalesce(p, '')) = '' and try_cast(n as int) between 1 and {P.LARGEST_NUMBER})
+select w.doc_id, coalesce(string_agg(n::varchar, ',' order by n), '') as figures from w left join m on m.doc_id = w.doc_id group by w.doc_id""",
+    "line_offsets": f"""with t as (select doc_id, translate(text, chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233), '') as text from documents),
+  l as (select doc_id, unnest(range(0, len(a))) as pos, unnest(a) as line, len(a) as many from (select doc_id, string_split(text, chr(10)) as a from t)),
+  k as (select * from l where not (pos = many - 1 and line = ''))
+select doc_id, cast(pos as int) as pos, cast(coalesce(sum(length(line) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as int) as offset, cast(length(line) as int) as chars from k""",
+    "forced_pages": f"""with w as (select doc_id, unnest(list_distinct(list_filter(list_concat([1 + doc_id % 9, 7], range(2 + doc_id % 5, 2 + doc_id % 11)), lambda p: p between 1 and 8))) as page from documents)
+select p.doc_id, p.page, least({P.RENDER_DPI} / 72.0::double, {P.RENDER_WIDTH}::double / width) as zoom from {_PAGES} p join w on w.doc_id = p.doc_id and w.page = p.page""",
+    "strip_toc_blocks": f"""with t as (select doc_id, string_agg(line, chr(10) order by pos) as t from {_lines(X.TOC)} group by doc_id),
+  m as (select doc_id, regexp_replace(t, '(?sm){P.TOC_BLOCK}', '', 'g') as t, regexp_matches(t, '(?sm){P.TOC_BLOCK}') as had from t)
+select doc_id, cast(length(t) as int) as chars, md5(t) as digest, had from m""",
+    "recognised_texts": f"select fig_id, {_CHAR(X.LABEL)} as text, {_BOX(X.LABEL_BOX)} from {_CELLS}",
+    "capability_limits": f"""with p as (select cast(c_custkey as varchar) as machine, key, {X.PROBE} as ok from (select c_custkey, k, ['pymupdf', 'lxml', 'imaging', 'converter', 'ocr', 'vision', 'pandoc', 'browser'][k + 1] as key from customer, range(0, 8) r(k))),
+  w as (select machine, bool_or(ok and key = 'pymupdf') as pymupdf, bool_or(ok and key = 'lxml') as lxml, bool_or(ok and key = 'imaging') as imaging, bool_or(ok and key = 'converter') as converter, bool_or(ok and key = 'ocr') as ocr, bool_or(ok and key = 'vision') as vision from p group by machine)
+select machine, case when pymupdf and ((converter and lxml) or ocr or vision) then concat_ws('; ',
+         case when converter and not lxml then 'converter: unusable without its reader' end,
+         case when not imaging then 'panels: cannot be split' when not (ocr or vision) then 'panels: geometry only' when not ocr then 'panels: no label check' end,
+         case when not (ocr or vision) then 'scanned: cannot be read' end, case when not converter then 'figures: positions are guessed' end,
+         case when not vision then 'captions: pairing is not checked by eye' end) else '' end as limits from w""",
+    "capability_probes": """with b as (select c_custkey, list_filter(['a', 'b', 'c'], lambda m, i: (c_custkey + i - 1) % 3 <> 0) as there, list_filter(['one', 'two'], lambda m, i: (c_custkey >> cast(i - 1 as int)) % 2 = 1) as engines from customer),
+  m as (select *, list_filter(['a', 'b'], lambda x: not list_contains(there, x)) as missing from b)
+select cast(c_custkey as varchar) as machine, len(missing) = 0 as modules_ok, array_to_string(missing, ',') as missing,
+       c_custkey % 5 <> 0 and c_custkey % 7 <> 0 and len(engines) > 0 as converter_ok,
+       case when c_custkey % 5 = 0 then 'not Windows' when c_custkey % 7 = 0 then 'bridge missing' when len(engines) = 0 then 'no engine' else array_to_string(engines, ' + ') end as detail,
+       engines[1] as engine, '/' || chr(cast(65 + c_custkey % 26 as int)) || '/a/' || c_custkey as device from m""",
+    "word_records": f"""with l as (select doc_id, pos, regexp_replace(line, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') || case when pos % 4 = 1 then ' coda' else '' end as line from {X.LINES}),
+  t as (select *, trim(regexp_replace(regexp_replace(replace(line, chr(173), ''), '(\\w)-\\s+([a-z])', '\\1\\2', 'g'), '[\\s\\p{{Z}}\\x{{85}}]+', ' ', 'g')) as text, case when pos % 5 = 0 and pos % 6 <> 5 then 1 + pos % 3 else 0 end as level from l),
+  r as (select doc_id, pos * 2 + 1 as ord, case when level > 0 then 'heading' else 'text' end as kind, text, level, null as media from t where text <> ''
+        union all select doc_id, pos * 2, 'image', null, 0, 'word/media/image' || (pos % 3) || '.png' from t where pos % 4 = 3 qualify row_number() over (partition by doc_id, pos % 3 order by pos) = 1)
+select cast(doc_id as varchar) as doc_id, cast(row_number() over (partition by doc_id order by ord) - 1 as int) as pos, kind, text, cast(level as int) as level, media, null::varchar as error from r""",
+    "relocate_figures": folds.RELOCATE,
+    "pair_captions": folds.PAIR_CAPTIONS,
+    "figure_regions": folds.FIGURE_REGIONS,
+    "panel_split": folds.PANEL_SPLIT,
+    "reading_order": folds.READING_ORDER,
+    "merge_to_count": folds.merge_to_count(_LABELS),
+    "navigation_tidy": folds.NAVIGATION,
 }

@@ -26,25 +26,66 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_markdown(df: DataFrame, path: str, key: str = "doc_id", text: str = "markdown") -> None:
-    """One folder per document with its Markdown as text; the end of a file is one line feed."""
-    df.select(key, F.regexp_replace(text, r"\n+\z", "").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+def write_markdown(df: DataFrame, path: str, key: str = "doc_id", text: str = "markdown", files: int | None = None) -> None:
+    """Markdown as text whose end is one line feed: one folder per document.
+
+    A file system takes some millions of folders at most. Beyond that ``files`` gives the number of Parquet files (key, text)
+    that documents are dealt to by key instead, in order of the key, so that one is found by reading a single file.
+    """
+    ended = F.regexp_replace(text, r"\n+\z", "")
+    if files is None:
+        df.select(key, ended.alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+    else:
+        df.select(key, F.concat(ended, F.lit("\n")).alias(text)).repartition(files, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
+def _store(path: str):
+    local = re.sub(r"^file:/+", "/", path)
+    return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(local)
+
+
+def rewrite(df: DataFrame, backup: bool = True) -> DataFrame:
+    """Write each row's markdown to its path, with a copy of what was there at path.bak; returns (path, bytes), lazily.
+
+    An existing copy is kept, so that a repeated task does not put its own output in place of the original.
+    """
+    ship(df.sparkSession)
+
+    def save(batches):
+        for pdf in batches:
+            sizes = []
+            for target, text in zip(pdf["path"], pdf["markdown"], strict=True):
+                data = (text.rstrip("\n") + "\n").encode()
+                store, path = _store(target)
+                held, copied = (f.type == fs.FileType.File for f in store.get_file_info([path, f"{path}.bak"]))
+                if backup and held and not copied:
+                    store.copy_file(path, f"{path}.bak")
+                with store.open_output_stream(path) as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pdf.assign(bytes=sizes)[["path", "bytes"]]
+
+    return df.select("path", "markdown").mapInPandas(save, "path string, bytes bigint")
 
 
 def save_media(media: DataFrame, named: DataFrame, folder: str) -> DataFrame:
     """Write media (doc_id, media, content) under the names of records.media_names(); returns what was written.
 
+    What an earlier run left below ``folder`` goes first. Media without content are not written.
+
     Each document has a folder of its own below ``folder``, which all executors must reach. A file is written whole and
     again if its task is repeated. The result (doc_id, file, bytes) is lazy: reading it does the work.
     """
     ship(media.sparkSession)
-    wanted = named.where("file is not null").select("doc_id", "media", "file").distinct().join(media, ["doc_id", "media"])
+    store, path = _store(folder)
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir_contents(path)
+    wanted = named.where("file is not null").select("doc_id", "media", "file").distinct().join(media.where("content is not null"), ["doc_id", "media"])
 
     def save(batches):
         for pdf in batches:
             for doc, file, content in zip(pdf["doc_id"], pdf["file"], pdf["content"], strict=True):
-                local = re.sub(r"^file:/+", "/", f"{folder}/{doc}/{file}")
-                store, path = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(local)
+                store, path = _store(f"{folder}/{doc}/{file}")
                 store.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 with store.open_output_stream(path) as out:
                     out.write(bytes(content))

@@ -14,11 +14,26 @@ def test_markdown_round_trip(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/json").count() == 2
 
 
+def test_markdown_in_buckets_and_in_place(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}\n\n") for i in range(20)], "doc_id int, markdown string")
+    files.write_markdown(df, f"{tmp_path}/few", files=3)
+    back = spark.read.parquet(f"{tmp_path}/few")
+    assert {r.doc_id: r.markdown for r in back.collect()} == {i: f"text {i}\n" for i in range(20)} and len(back.inputFiles()) <= 3
+    (tmp_path / "a.md").write_text("old\n")
+    rows = spark.createDataFrame([(f"file://{tmp_path}/a.md", "new\n\n"), (f"{tmp_path}/b.md", "fresh")], "path string, markdown string")
+    assert sorted(r.bytes for r in files.rewrite(rows).collect()) == [4, 6]
+    assert not (tmp_path / "b.md.bak").exists()
+    files.rewrite(rows).collect()
+    assert [(tmp_path / n).read_text() for n in ("a.md", "a.md.bak", "b.md")] == ["new\n", "old\n", "fresh\n"]
+
+
 def test_media_are_saved(spark, tmp_path):
     media = spark.createDataFrame([(1, "w/a.png", bytearray(b"abc")), (1, "w/b.png", bytearray(b"no"))], "doc_id bigint, media string, content binary")
     named = spark.createDataFrame([(1, "w/a.png", "media/fig01.png"), (1, "w/a.png", "media/fig01.png")], "doc_id bigint, media string, file string")
     assert [tuple(r) for r in files.save_media(media, named, f"file://{tmp_path}/m").collect()] == [(1, "media/fig01.png", 3)]
     assert (tmp_path / "m/1/media/fig01.png").read_bytes() == b"abc"
+    none = media.withColumn("content", F.lit(None).cast("binary"))
+    assert files.save_media(none, named, f"file://{tmp_path}/m").count() == 0 and not (tmp_path / "m/1/media/fig01.png").exists()
 
 
 def test_pictures(spark, tmp_path):

@@ -98,5 +98,19 @@ def test_word_document(spark, tmp_path):
     good = [(r.kind, r.text, r.level, r.media) for r in found if r.error is None]
     assert good == [("heading", "Intro", 1, None), ("image", None, 0, "word/media/image1.png"), ("text", "measurement x", 0, None), ("text", "Fig. 1. Caption", 0, None), ("text", "AB", 0, None)]
     assert [r.error is not None for r in found if r.path.endswith("b.docx")] == [True]
-    parts = docx.read_media(spark, str(tmp_path)).select("media", *[c.alias(n) for c, n in zip(docx.png_size("content"), ("width", "height"), strict=True)]).collect()
-    assert [tuple(r) for r in parts] == [("word/media/image1.png", 500, 20)]
+    parts = docx.picture_sizes(docx.read_media(spark, str(tmp_path))).orderBy("media").collect()
+    assert [(r.media, r.width, r.height, r.error is None) for r in parts] == [(None, None, None, False), ("word/media/image1.png", 500, 20, True)]
+
+
+def test_picture_sizes_of_all_kinds():
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF".ljust(14, b"\0") + b"\xff\xc4" + struct.pack(">H", 4) + b"ab" + b"\xff\xff\xc2" + struct.pack(">HBHHB", 17, 8, 77, 640, 3) + b"\0" * 9
+    known = {
+        png(30, 20): (30, 20),
+        jpeg: (640, 77),
+        b"GIF89a" + struct.pack("<HH", 9, 8): (9, 8),
+        b"BM" + b"\0" * 16 + struct.pack("<ii", 12, -5): (12, 5),
+        b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (99).to_bytes(3, "little") + (49).to_bytes(3, "little"): (100, 50),
+    }
+    for data, size in known.items():
+        assert docx.picture_size(data) == size
+    assert [docx.picture_size(x) for x in (None, b"", b"\xff\xd8", jpeg[:30], b"text")] == [None] * 5

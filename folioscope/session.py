@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -34,14 +35,18 @@ def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application and keep Arrow batches small.
 
     Python workers import operator modules by name, so executors need the package even where it is not
-    installed. A second call is free.
+    installed. A second call is free. Plans read the size of batches when they run, so it stays lowered for the session;
+    a smaller one that the caller has set is kept.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= BATCH_ROWS:
+        spark.conf.set(size, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         here = os.path.dirname(os.path.abspath(__file__))
         if os.path.isdir(here):
             top = tempfile.mkdtemp()
+            atexit.register(shutil.rmtree, top, ignore_errors=True)
             shutil.copytree(here, f"{top}/in/{os.path.basename(here)}", ignore=shutil.ignore_patterns("__pycache__"))
             spark.sparkContext.addPyFile(shutil.make_archive(f"{top}/{os.path.basename(here)}_{os.getpid()}", "zip", f"{top}/in"))
         _SHIPPED.add(app)

@@ -2,9 +2,9 @@
 
 Words are maximal runs of ASCII letters, ASCII digits and non-ASCII characters after A-Z became a-z. A window is
 ``window`` consecutive words of a benchmark text; a shorter text with at least one word is one window. All windows
-become patterns of one automaton whose letters are whole words: each word of the benchmark has a character of its own,
-any other word one that no pattern has. So the automaton reads each document once, a step a word, and an occurrence's
-place is its word number, which is mapped back to code point offsets of the original text.
+become patterns of one automaton over words: each word of the benchmark is a number, written in a few digits, so that no
+state has many ways on, and any other word is one sign that no pattern has. So the automaton reads each document once,
+a few steps a word, and an occurrence is mapped back to word numbers and to code point offsets of the original text.
 
 Defined results: a null or wordless text has no words, no hits and is clean; a null or wordless benchmark text adds
 no window; a benchmark row whose id is null marks words but is not listed; repeated rows are judged each on its own;
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import blobs, free, keyed, materialise, ship, table, utf8_words
 
 WINDOW = 13
-#: Words' bytes of one automaton: fewer than a million words, so each can have a character of its own.
-BLOCK_BYTES = 2 << 20
+#: Words' bytes of one automaton.
+BLOCK_BYTES = 1 << 20
 #: Windows of one stretch of a long item.
 STRETCH = 4096
 
@@ -44,50 +44,48 @@ _RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _FOUND = pa.struct([("n_words", pa.int64()), ("runs", _RUNS), ("items", pa.list_(pa.string())), ("spans", _SPANS)])
 _FOUND_SQL = "struct<n_words:bigint,runs:array<struct<first:int,last:int>>,items:array<string>,spans:array<struct<start:int,end:int>>>"
-_STRANGE = "\x00"
-
-
-def _letters() -> Iterator[str]:
-    """Characters for words: all but zero and the surrogates."""
-    yield from map(chr, range(1, 0xD800))
-    yield from map(chr, range(0xE000, 0x110000))
+_BASE, _STRANGE = 16, "\x00"
 
 
 @dataclass
 class Matcher:
-    """An automaton over words, and the character of each word of the benchmark."""
+    """An automaton over words, and the digits of each word of the benchmark; a word's first digit looks like no other."""
 
-    letters: dict[bytes, str]
+    digits: dict[bytes, str]
     built: ahocorasick.Automaton
 
 
 def automaton(items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> Matcher:
     """The automaton of a list of (item id, text); a pattern's value is (number of words, item ids)."""
+    listed = [(item, utf8_words(text)) for item, text in items]
+    known = list(dict.fromkeys(w for _, words in listed for w in words))
+    width = 1
+    while _BASE**width < len(known):
+        width += 1
+    digits = {w: "".join([chr(1 + _BASE * (not k) + n // _BASE**k % _BASE) for k in range(width)]) for n, w in enumerate(known)}
     owners: dict[str, set[str]] = {}
-    letters: dict[bytes, str] = {}
-    fresh = _letters()
-    for item, text in items:
-        words = utf8_words(text)
-        for w in words:
-            if w not in letters:
-                letters[w] = next(fresh)
-        whole = "".join(map(letters.__getitem__, words))
-        for i in range(max(1, len(whole) - window + 1) if whole else 0):
-            owners.setdefault(whole[i : i + window], set()).update([] if item is None else [item])
+    for item, words in listed:
+        whole = "".join(map(digits.__getitem__, words))
+        for i in range(max(1, len(words) - window + 1) if words else 0):
+            owners.setdefault(whole[i * width : (i + window) * width], set()).update([] if item is None else [item])
     built = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        built.add_word(w, (len(w), tuple(sorted(ids))))
+    for p, ids in owners.items():
+        built.add_word(p, (len(p) // width, tuple(sorted(ids))))
     if owners:
         built.make_automaton()
-    return Matcher(letters, built)
+    return Matcher(digits, built)
 
 
 def find(words: list[bytes], matcher: Matcher) -> tuple[np.ndarray, set[str]]:
     """Numbers of the words inside occurrences of windows, and the items that own these windows."""
     hit, items = np.zeros(len(words), bool), set()
     if words and len(matcher.built):
-        letter = matcher.letters.get
-        for last, (n, ids) in matcher.built.iter("".join([letter(w, _STRANGE) for w in words])):
+        digits, ends = matcher.digits.get, None
+        written = [digits(w, _STRANGE) for w in words]
+        for end, (n, ids) in matcher.built.iter("".join(written)):
+            if ends is None:
+                ends = np.cumsum([len(x) for x in written])
+            last = int(np.searchsorted(ends, end, "right"))
             hit[last - n + 1 : last + 1] = True
             items.update(ids)
     return np.flatnonzero(hit), items

@@ -1,7 +1,7 @@
 """Exact dedup by content-defined chunk recipes.
 
 Texts are equal when they agree after every ASCII white space character is deleted. Each normalised text is cut where a
-rolling hash of its last 32 bytes has its low bits clear, so that equal passages give equal chunks wherever they stand.
+rolling hash of its last 32 bytes has its top ten bits, modulo MEAN, at zero, so that equal passages give equal chunks wherever they stand.
 A chunk gets a 64-bit identifier. Identifiers are verified over the whole corpus: of all chunks with one identifier the
 128-bit digests must agree; documents with an identifier that fails are compared by identifier and digest instead.
 Documents are then compared by their ordered lists of identifiers only: texts are read once where they lie and are never

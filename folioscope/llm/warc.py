@@ -6,8 +6,8 @@ Of records with equal payloads of at least ``least`` bytes the one with the smal
 revisits that refer to it and carry no payload.
 
 Defined results: a null page is an empty payload; a null url is left out of the record
-and control characters in a url are percent-encoded; a null id is written as an empty
-one, is never referred to and comes last, so pages with equal payloads and null ids only are all responses; rows that
+and control characters in a url are percent-encoded; a null id is written as <urn:page>, an empty one as <urn:page:>; a
+null id is never referred to and comes last, so pages with equal payloads and null ids only are all responses; rows that
 repeat the id of the response are that page, so all of them are responses; archives without enough records for a
 dictionary have none; an empty table gives no archive; only the named columns are read.
 
@@ -46,7 +46,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def record(page: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One uncompressed record."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    name = lambda x: f"<urn:page:{quote(x or '', safe='')}>"
+    name = lambda x: "<urn:page>" if x is None else f"<urn:page:{quote(x, safe='')}>"
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_CONTROL.sub(lambda m: f'%{ord(m[0]):02X}', url)}")
@@ -164,7 +164,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, **o
 
 def _read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[dict]:
-        name = lambda x: unquote(x[len("<urn:page:") : -1]) or None
+        name = lambda x: None if x == "<urn:page>" else unquote(x[len("<urn:page:") : -1])
         for batch in stream:
             for path in batch.column(0).to_pylist():
                 store, local = _open(path)

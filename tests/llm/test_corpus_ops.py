@@ -493,6 +493,14 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read(warc.write(pages.limit(0), f"{tmp_path}/none")).count() == 0
 
 
+def test_archives_keep_string_ids(spark, tmp_path):
+    big = "same payload " * 20
+    rows = [("", big), ("a/b é>", big), (None, big), ("z", None), ("z", "short")]
+    back = warc.read(warc.write(spark.createDataFrame(rows, "page_id string, html string").selectExpr("page_id", "'u' as url", "html"), f"{tmp_path}/w")).collect()
+    found = sorted((r.page_id is None, r.page_id or "", r.record_type, r.refers_to, r.payload_bytes) for r in back)
+    assert found == [(False, "", "response", None, 260), (False, "a/b é>", "revisit", "", 260), (False, "z", "response", None, 0), (False, "z", "response", None, 5), (True, "", "revisit", "", 260)]
+
+
 def test_archive_has_a_dictionary_and_separate_frames():
     import struct
 

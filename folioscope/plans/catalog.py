@@ -69,7 +69,7 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, figure views and status of every document."""
     found = R.manifest(_classified(spark, sf_dir, X.MENTIONS), _numbered(spark, sf_dir))
-    return found.select("doc_id", "records", "images", joined("numbered").alias("numbered"), joined("captions").alias("captions"), joined("referenced").alias("referenced"), "paragraphs", "chars", "skipped", "status")
+    return found.select("doc_id", "records", "images", joined("numbered").alias("numbered"), joined("captions").alias("captions"), joined("referenced").alias("referenced"), "paragraphs", "chars", "skipped", F.array_join("problems", "; ").alias("problems"), "status")
 
 
 def figure_numbering_zip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,7 +149,8 @@ def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 files.append(held.getvalue())
             yield pd.DataFrame({"path": pdf["path"], "content": files})
 
-    return table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) as path", "text").mapInPandas(pack, "path string, content binary")
+    texts = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) as path", "text")
+    return texts.repartition(spark.sparkContext.defaultParallelism).mapInPandas(pack, "path string, content binary")
 
 
 def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,4 +180,4 @@ def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["fig_id", "height", "width", "nChannels", "data", "ocr", "layout", "expect", "grid"])
 
     ids = table(spark, sf_dir, "documents").selectExpr("doc_id as fig_id")
-    return ids.mapInPandas(draw, "fig_id bigint, height int, width int, nChannels int, data binary, ocr array<struct<text:string,x0:int,y0:int,x1:int,y1:int>>, layout array<int>, expect array<string>, grid array<int>")
+    return ids.repartition(spark.sparkContext.defaultParallelism).mapInPandas(draw, "fig_id bigint, height int, width int, nChannels int, data binary, ocr array<struct<text:string,x0:int,y0:int,x1:int,y1:int>>, layout array<int>, expect array<string>, grid array<int>")

@@ -130,6 +130,9 @@ qualify row_number() over (partition by doc_id, num order by page, y0, block) =
   shown as (select doc_id, list_sort(list(distinct figure)) as numbered from images where figure is not null group by doc_id),
   x as (select counts.*, captions, referenced, coalesce(numbered, []) as numbered from counts join census using (doc_id) left join shown using (doc_id))
 select doc_id, records, images, array_to_string(numbered, ',') as numbered, array_to_string(captions, ',') as captions, array_to_string(referenced, ',') as referenced, paragraphs, chars, skipped,
+       concat_ws('; ', case when len(captions) = 0 then 'no caption was found' end,
+                 case when len(list_filter(captions, lambda n: not list_contains(numbered, n))) > 0 then 'captions name [' || array_to_string(captions, ', ') || '] but images are numbered [' || array_to_string(numbered, ', ') || ']' end,
+                 case when len(list_filter(referenced, lambda n: not list_contains(captions, n))) > 0 then 'the text refers to [' || array_to_string(list_filter(referenced, lambda n: not list_contains(captions, n)), ', ') || '] without a caption' end) as problems,
        case when len(captions) = 0 or len(list_filter(captions, lambda n: not list_contains(numbered, n))) > 0 or len(list_filter(referenced, lambda n: not list_contains(captions, n))) > 0 then 3 else 0 end as status from x""",
     "figure_numbering_zip": f"{_RECORDS} select doc_id, cast(pos as int) as pos, furniture, figure from images",
     "furniture_upper_median": f"with {_FLOOR} select doc_id, floor from floors",

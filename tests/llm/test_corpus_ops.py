@@ -86,17 +86,51 @@ def test_scores_depend_on_text_alone():
 
 
 def plain_convolution(model, text):
-    """The score of one text, a word and a filter at a time."""
-    words = utf8_words(text) or [None]
-    pad = [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - 1)
-    vectors = [sum(model.table[b].astype(float) for b in toxicity.buckets(w)) if w is not None else pad[0] for w in words] + pad
-    logit, at = model.bias, 0
+    """The score of one text by its whole matrix of embeddings, filter by filter."""
+    words = utf8_words(text)
+    x = np.zeros((max(1, len(words)) + max(toxicity.WIDTHS) - 1, toxicity.DIM))
+    for i, w in enumerate(words):
+        x[i] = model.table[toxicity.buckets(w)].astype(float).sum(0)
+    n, logit, at = max(1, len(words)), model.bias, 0
     for width in toxicity.WIDTHS:
         for f in range(toxicity.FILTERS):
-            best = max(sum(float(vectors[i + k] @ model.filters[width][k][:, f]) for k in range(width)) for i in range(len(words)))
+            best = max(sum(x[k : k + n] @ model.filters[width][k][:, f] for k in range(width)))
             logit += max(0.0, best + float(model.shift[at])) * float(model.out[at])
             at += 1
-    return 1 / (1 + math.exp(-logit))
+    return 1 / (1 + math.exp(-max(-30, min(30, logit))))
+
+
+@needs_tables
+def test_toxicity_query_agrees_with_plain_convolution(spark):
+    docs = table(spark, SMALL, "documents")
+    model = toxicity.fit(docs, table(spark, SMALL, "labels"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = toxicity.query(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        assert abs(r.score - plain_convolution(model, texts[r.doc_id])) < 1e-3
+
+
+def plain_densities(model, data):
+    """The log densities' difference of one text's statistics, from covariances that are put together again."""
+    z = (np.array(quality.statistics(data)) - model.centre) / model.scale
+    logs = []
+    for mean, inverse in zip(model.means, model.factors, strict=True):
+        covariance = np.linalg.inv(inverse.T @ inverse)
+        logs.append(-0.5 * (z - mean) @ np.linalg.solve(covariance, z - mean) - 0.5 * np.linalg.slogdet(covariance)[1])
+    return logs[1] - logs[0]
+
+
+@needs_tables
+def test_quality_query_agrees_with_plain_densities(spark):
+    docs = table(spark, SMALL, "documents")
+    model = quality.fit(docs, table(spark, SMALL, "labels"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = quality.query(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        d = max(-30, min(30, model.scaled * plain_densities(model, texts[r.doc_id]) + model.shifted))
+        assert abs(r.score - 1 / (1 + math.exp(-d))) < 1e-5
 
 
 def test_toxicity_scores_agree_with_plain_convolution():

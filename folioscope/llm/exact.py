@@ -12,8 +12,8 @@ points in the original text stays, then the smallest doc_id (null last); rows th
 are that row, so all of them are kept; an empty table gives an empty result; only the named columns are read.
 
 Scale: identifiers are verified and groups formed with partial aggregation, so a passage or a text that holds a third of
-all rows meets each task as one row. The answer goes back to the documents by a plain equi join, which adaptive
-execution splits where one group is large.
+all rows meets each task as one row. The answer for recipes that occur more than once is a written table and goes back to
+the documents by a plain equi join, which adaptive execution splits where one group is large.
 """
 
 from __future__ import annotations
@@ -116,8 +116,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: in
         full = F.flatten(F.array("ids", "low", "high"))
         listed = made.join(touched.withColumn("doubt", F.lit(True)), "text_sha256", "left").withColumn("recipe", F.when(F.col("doubt"), full).otherwise(F.col("ids"))).drop("doubt")
     best = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("missing"), "doc_id")).alias("best")
-    found = listed.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best).select("recipe", "group_size", F.col("best.doc_id").alias("keep_id"))
-    return listed.join(found, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("ids").alias("n_chunks"))
+    found = listed.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best).where("group_size > 1").select("recipe", "group_size", F.col("best.doc_id").alias("best_id"))
+    joined = listed.join(materialise(found, "copies"), "recipe", "left")
+    several = F.col("group_size").isNotNull()
+    keep = F.when(several, F.col("best_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), (~several | F.col("doc_id").eqNullSafe(F.col("best_id"))).alias("kept"), "text_sha256", F.size("ids").alias("n_chunks"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

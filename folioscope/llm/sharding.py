@@ -10,7 +10,8 @@ numbered parts of equal count; null ids are hashed with their text like any othe
 Columns besides those named are passed on untouched.
 
 Scale: the hash covers id and text, so neither a hot source nor a missing id makes a hot bucket; only ids' hashes and
-byte counts are shuffled to build the directory, with partial aggregation; it is joined as a table, never collected.
+byte counts are shuffled to build the directory, with partial aggregation; it is joined as a table, never collected. It
+has 16 to 32 cells a shard, each summed on eight levels; higher ones start from sums, so work is linear in the shards.
 Numbered parts are counted by input partition first, so no task gets all rows of one document.
 """
 
@@ -25,6 +26,8 @@ from folioscope.llm.common import keyed, materialise, table
 
 BITS = 60
 LIMIT = 16 << 20
+#: Levels of the directory that are summed from the cells themselves; those above come from the sums of the lowest of these.
+TIER = 8
 
 
 def hashed(doc_id: str, text: str) -> Column:
@@ -35,15 +38,25 @@ def hashed(doc_id: str, text: str) -> Column:
 
 def resolved(keys: DataFrame, bits: int, least: int, limit: int) -> DataFrame:
     """For each key of ``bits`` bits with bytes and n: depth, shard_bytes and shard_rows of the shortest prefix, of at
-    least ``least`` bits, that fits; depth is null where none does."""
-    levels = keys.select("key", "bytes", "n", F.explode(F.sequence(F.lit(least), F.lit(bits))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(key, {bits} - depth)"))
-    sums = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
-    fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1))
-    found = levels.select("key", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("key").agg(F.min(F.struct("depth", "shard_bytes", "shard_rows")).alias("leaf"))
+    least ``least`` bits, that fits; keys that none fits are left out."""
+
+    def shortest(keys: DataFrame, bits: int, least: int) -> DataFrame:
+        levels = keys.select("key", "bytes", "n", F.explode(F.sequence(F.lit(least), F.lit(bits))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(key, {bits} - depth)"))
+        sums = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
+        fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1))
+        return levels.select("key", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("key").agg(F.min(F.struct("depth", "shard_bytes", "shard_rows")).alias("leaf"))
+
+    low = max(least, bits - TIER)
+    found = shortest(keys, bits, low)
+    if low > least:
+        top = F.shiftright("key", bits - low)
+        above = keys.groupBy(top.alias("key")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+        higher = shortest(above, low, least).select(F.col("key").alias("top"), F.col("leaf").alias("higher"))
+        found = found.withColumn("top", top).join(higher, "top", "left").select("key", F.coalesce("higher", "leaf").alias("leaf"))
     return found.select("key", "leaf.*")
 
 
-def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, spare: int = 6) -> DataFrame:
+def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, spare: int = 4) -> DataFrame:
     """Rows of docs as a struct ``row`` with n_bytes, shard, depth, part, shard_bytes and oversize."""
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),

@@ -34,7 +34,7 @@ VOCABULARY = "byte_bpe_50k.json"
 CHUNK, OVERLAP, LIMIT = 65_536, 1_024, 512
 
 #: Pieces whose counts a process remembers; beyond it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 _ODD = re.compile(r" \s|\s |\A | \Z")
 _STABLE = re.compile(r"(?<=\S)(?= \S)")

@@ -384,7 +384,9 @@ def _left_open(members: DataFrame, bitmaps: DataFrame, least: float) -> DataFram
     """
     by_root = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = by_root.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all")).where("all > top.c").selectExpr("bucket", "top.root as top", f"cast(ceil(top.c / {BLOCK}) as int) as g", f"cast(ceil((all - top.c) / {BLOCK}) as int) as h")
+    mixed = materialise(mixed, "mixed")
     left = materialise(members.join(mixed, "bucket"), "left")
+    discard(mixed)
     if left.isEmpty():
         discard(left)
         return None
@@ -411,7 +413,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     wanted = materialise(members.select("key").distinct(), "wanted")
     sieve = spark.sparkContext.broadcast(key_filter(wanted, wanted.count()))
     texts = read.select("text").mapInArrow(_worded(sieve, size), "key binary, words binary, marks binary")
-    words = materialise(texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"), F.first("marks").alias("marks")), "words")
+    words = materialise(texts.groupBy("key").agg(F.first("words").alias("words"), F.first("marks").alias("marks")).join(wanted, "key", "left_semi"), "words")
     bitmaps = words.select("key", "marks")
     sieve.destroy()
     discard(wanted)

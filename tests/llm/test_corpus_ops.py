@@ -312,6 +312,17 @@ def test_near_duplicates_agree_with_all_pairs(spark):
     assert neardup.classes(docs.limit(0)).count() == 0 and neardup.distinct(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cells", [1, 1 << 20])
+def test_distinct_does_not_depend_on_the_filter(spark, monkeypatch, cells):
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(40)]
+    rows = [(k, t, "a") for k, t in enumerate(texts)] + [(100 + k, texts[k].upper(), "b") for k in range(5)] + [(7, texts[7], "a"), (None, None, None), (None, None, "c"), (200, "!", "a")]
+    monkeypatch.setattr(neardup, "FILTER", cells)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key string")
+    left = [tuple(r) for r in neardup.distinct(docs).collect()]
+    assert len(left) == 42 and sorted(r[0] for r in left if r[0] is not None) == [*range(40), 200]
+    assert all(r in rows for r in left)
+
+
 def family_fixture():
     """Unlike texts of a family that share a long passage, a few of them with one near copy in the family."""
     r = random.Random(4)

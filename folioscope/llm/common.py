@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from folioscope.session import ship, table
 
-__all__ = ["blobs", "crc_fold", "discard", "few", "free", "keyed", "labelled_sample", "materialise", "shared_dir", "ship", "table", "utf8_words"]
+__all__ = ["blobs", "crc_fold", "discard", "few", "free", "keyed", "labelled", "labelled_sample", "materialise", "shared_dir", "ship", "table", "utf8_words"]
 
 #: Turns every ASCII byte that is neither a letter nor a digit into a space; bytes of other characters stay.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
+#: Most bitmaps, of 4 KB each, that tell which ids have a label.
+MAPS = 2048
+
 
 def utf8_words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a UTF-8 text after A-Z became a-z; null has none."""
@@ -63,6 +66,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: Column, rows:
     return one.select("doc_id", "label", *[F.col(f"r.{c}") for c in rest]), shares
 
 
+def labelled(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[DataFrame, int]:
+    """All rows of docs (doc_id, text, ...) that have a label 0 or 1 (doc_id, label) and are not held out, and how many labels there are.
+
+    Of documents that repeat an id one counts, the row of the least hash; an id with both labels gives two rows. Documents
+    whose id has no label are left out before the shuffle by a bitmap of the labels' ids, of at most ``MAPS`` x 4 KB; where
+    it is too small for the labels more of the others pass it, and the join is exact anyhow.
+    """
+    if labels.schema["doc_id"].dataType != docs.schema["doc_id"].dataType:
+        labels = labels.withColumn("doc_id", F.col("doc_id").try_cast(docs.schema["doc_id"].dataType))
+    usable = F.col("doc_id").isNotNull() & ~held_out
+    known = labels.where(F.col("label").isin(0, 1) & usable).select("doc_id", F.col("label").cast("int").alias("label")).distinct()
+    n = known.count()
+    maps = min(MAPS, 1 << (n // 4096).bit_length())
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(maps << 15))
+    marks = known.select(place.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % (1 << 15)).alias("marks"))
+    met = docs.where(usable).withColumn("at", place).withColumn("part", F.shiftright("at", 15)).join(F.broadcast(marks), "part")
+    met = met.where("shiftright(cast(conv(hex(substring(marks, cast(at % 32768 div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) % 2 = 1")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(*rest).alias("h"), *rest)).alias("r"))
+    return one.join(known, "doc_id").select("doc_id", "label", *[F.col(f"r.{c}") for c in rest]), n
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 

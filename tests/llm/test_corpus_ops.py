@@ -181,6 +181,59 @@ def test_calibration_uses_rows_kept_from_fitting(spark, monkeypatch):
     assert sum(map(len, seen["train"])) <= 400
 
 
+def vocabulary_fixture(spark):
+    """Toxic words of which each is in a few rows only, one of them in long texts only; documents and labels."""
+    r = random.Random(8)
+    bad, fine = [f"vile{c}x" for c in "abcdefghijklmnopqrstuvwxyz"[:24]], ["day", "house", "river", "tree", "walk", "music", "paper"]
+    rows = []
+    for i in range(1200):
+        words = [r.choice(fine) for _ in range(r.randint(4, 12))] + ([f"q{bad[i // 2 % 24][4]}z" if i % 4 == 1 else bad[i // 2 % 24]] if i % 2 else [])
+        if i % 50 == 25:
+            words = ["wordless"] + [r.choice(fine) for _ in range(200)]
+        r.shuffle(words)
+        rows.append((i, " ".join(words), "en" if i % 3 else "de", i % 2 if i % 50 != 25 else 1))
+    docs = spark.createDataFrame([x[:3] for x in rows] + [(None, "day", "en"), (5000, "house", "en")], "doc_id bigint, text string, lang string")
+    return rows, docs, spark.createDataFrame([(x[0], x[3]) for x in rows] + [(None, 1), (7000, 1)], "doc_id bigint, toxic int")
+
+
+@pytest.mark.parametrize("cells", [1 << 16, 100])
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch, cells):
+    rows, docs, labels = vocabulary_fixture(spark)
+    rest = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 5]
+    apart = [x for x in rest if zlib.crc32(x[1].encode(), 1) % 5 == 0]
+    seen = {}
+    train, calibrate, mean = toxicity.train, toxicity.calibrate, toxicity.Gathered.mean
+    monkeypatch.setattr(toxicity, "CELLS", cells)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 400)
+    monkeypatch.setattr(toxicity, "train", lambda t, *a, **k: seen.update(start=len(t)) or train(t, *a, **k))
+    monkeypatch.setattr(toxicity, "calibrate", lambda s, y, w, g, *a: seen.update(calibrated=w.sum(), cells=len(s), langs=set(g)) or calibrate(s, y, w, g, *a))
+    monkeypatch.setattr(toxicity.Gathered, "mean", lambda self, base: seen.update(taught=self.rows) or mean(self, base))
+    monkeypatch.setattr(toxicity, "ROUNDS", 6)
+    model = toxicity.fit(docs, labels, sample_rows=12, sample_chars=300)
+    assert seen["start"] <= 24 and seen["taught"] == len(rest) - len(apart) and seen["calibrated"] == len(apart)
+    assert (seen["cells"] == len(apart)) == (cells > 100) and seen["langs"] == {"en", "de"} == set(model.thresholds) - {"*"}
+    held = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 5 == 0]
+    scores = toxicity.Scorer(model).score([x[1].encode() for x in held])
+    assert auc(scores.tolist(), [x[3] for x in held]) > 0.99
+    assert toxicity.Scorer(model).score([b"river wordless tree"])[0] > 0.5
+    again = toxicity.fit(docs, labels, sample_rows=12, sample_chars=300)
+    assert np.allclose(toxicity.Scorer(again).score([x[1].encode() for x in held]), scores, atol=1e-5)
+
+
+@pytest.mark.parametrize(("maps", "kind"), [(1, "bigint"), (2048, "bigint"), (2048, "string")])
+def test_labelled_rows_are_whole(spark, monkeypatch, maps, kind):
+    monkeypatch.setattr(common, "MAPS", maps)
+    docs = spark.createDataFrame([(i % 9000 if i % 11 else None, f"t{i}") for i in range(12_000)], "doc_id bigint, text string").select(F.col("doc_id").cast(kind), "text")
+    labels = spark.createDataFrame([(i, i % 3 if i % 5 else None) for i in range(0, 10_000, 2)] * 2 + [(4, 0), (None, 1)], "doc_id bigint, label int")
+    found, n = common.labelled(docs, labels, common.crc_fold("doc_id", 5) == 0)
+    ids = {i % 9000 for i in range(12_000) if i % 11}
+    known = {(i, i % 3) for i in range(0, 10_000, 2) if i % 5 and i % 3 < 2} | {(4, 0)}
+    known = {(i, y) for i, y in known if zlib.crc32(str(i).encode()) % 5}
+    rows = found.collect()
+    assert n == len(known) and sorted((int(r.doc_id), r.label) for r in rows) == sorted(x for x in known if x[0] in ids)
+    assert all(int(r.text[1:]) % 9000 == int(r.doc_id) for r in rows)
+
+
 def test_intermediate_tables_go_and_need_a_shared_folder(spark):
     made = common.materialise(spark.range(3), "test")
     path = made.__dict__["_written"]
